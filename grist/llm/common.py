@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: A side is broadcast up to this many bytes (rows times the width of a row); beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,11 +3,9 @@
 1. Documents with the same words in the same order form one *text*; the least (doc_id, key) among them stands for it.
 2. Each text's MinHash signature is cut into bands; how many bands of how many rows follows from the recall
    that is wanted at the threshold. A shuffle on the bands' hashes brings texts together.
-3. A text's label is the least text it meets in any band, followed twice. Texts of one label are verified
-   together: each ships its full n-gram set there once, so that groups of thousands of copies move in proportion to
-   their size, not to their pairs. Labels of more than BLOCK texts are cut into blocks that meet pairwise.
-4. Pairs that meet in a band but have other labels are few; those whose signatures already rule the threshold out (by
-   more than four standard deviations) go, the others are verified as labels of two.
+3. Texts that meet are verified in groups (meeting.py): each ships its full n-gram set there once, so that groups of
+   thousands of copies move in proportion to their size, not to their pairs. Pairs that are in no group together are
+   dropped first if their signatures already rule the threshold out, by more than four standard deviations.
 
 Verification compares full sets of 64-bit n-gram hashes, so precision is exact; recall at the threshold is at
 least RECALL, and higher above it.
@@ -29,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, materialise, mix, pieces, row_key, seeds, small_or_not
+from .meeting import components, tasks, verified
 from .text import Words
 
 N, THRESHOLD, RECALL, MAX_HASHES = 3, 0.5, 0.95, 192
-#: Labels of more texts than this are verified block against block, in several tasks.
-BLOCK = 2000
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -108,16 +105,14 @@ def _likely(texts: DataFrame, pairs: DataFrame, hashes: int, least: float) -> Da
             alike = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
             yield batch.select(["a", "b"]).filter(pa.array(alike >= least))
 
-    pairs = small_or_not(materialise(pairs), 16)
+    pairs = small_or_not(pairs, 16)
     one = texts.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")).join(pairs, "a")
     both = texts.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")).join(small_or_not(materialise(one), 16 + hashes), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a bigint, b bigint")
 
 
 def _verify(rids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of these sets at or above the threshold; if forest, only (member, least member) of each group that they form."""
-    rids, first = np.unique(rids, return_index=True)
-    sides, sets = sides[first], [sets[i] for i in first]
+    """rids ascend. All pairs of these sets at or above the threshold; if forest, only (member, least member) of each group that they form."""
     size, a, b, sim = np.array([len(s) for s in sets]), [], [], []
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
@@ -147,27 +142,8 @@ def _verify(rids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], thresho
 
 def _matches(docs: DataFrame, texts: DataFrame, n: int, threshold: float, bands: int, rows: int, forest: bool) -> DataFrame:
     """(a, b, jaccard) of texts, a < b; if forest, edges enough to connect what all pairs would connect."""
-    met = materialise(texts.select("rep", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_list("rep")).alias("reps")).filter("size(reps) > 1"))
-    least = met.select(F.explode("reps").alias("rep"), F.col("reps")[0].alias("up")).groupBy("rep").agg(F.min("up").alias("up"))
-    least = materialise(least)
-    for _ in range(2):  # to the least text of the least text met, so that all of a dense group agree
-        up = small_or_not(least.select(F.col("rep").alias("up"), F.col("up").alias("top")), 16)
-        least = least.join(up, "up", "left").select("rep", F.least("up", "top").alias("up"))
-    labels = materialise(least)
-
-    named = met.select("band", F.explode("reps").alias("rep")).join(small_or_not(labels, 16), "rep")
-    mixed = named.groupBy("band").agg(F.collect_list(F.struct("rep", "up")).alias("m"), F.min("up").alias("lo"), F.max("up").alias("hi")).filter("lo < hi")
-    apart = mixed.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter("x.rep < y.rep AND x.up <> y.up")
-    few = _likely(texts, apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), bands * rows, threshold - 4.5 * math.sqrt(0.25 / (bands * rows)))
-    few = materialise(few)
-
-    sizes = labels.groupBy("up").agg(F.count("*").alias("size")).filter("size > 1")
-    blocks = labels.join(small_or_not(materialise(sizes), 16), "up").withColumn("n", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    inside = blocks.select(F.col("rep").alias("rid"), F.xxhash64("up", lo, hi).alias("key"), F.when(lo == hi, -1).when(F.col("own") == lo, 0).otherwise(1).alias("side"))
-    across = few.select(F.explode(F.array("a", "b")).alias("rid"), F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.lit(-1).alias("side"))
-    needed = materialise(inside.unionByName(across))
+    least = threshold - 4.5 * math.sqrt(0.25 / (bands * rows))
+    needed = tasks(texts.select("rep", "bands"), lambda pairs: _likely(texts, pairs, bands * rows, least))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,36 +152,13 @@ def _matches(docs: DataFrame, texts: DataFrame, n: int, threshold: float, bands:
                 grams, bounds = Words(words_of.slice(a, b - a)).ngrams(n)
                 packed = [np.unique(grams[bounds[i] : bounds[i + 1]]).tobytes() for i in range(b - a)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([column(part, "rid"), column(part, "key"), column(part, "side"), pa.array(packed, pa.binary())], ["rid", "key", "side", "grams"])
+                yield pa.RecordBatch.from_arrays([column(part, "rid"), column(part, "key"), column(part, "side"), pa.array(packed, pa.binary())], ["rid", "key", "side", "load"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        current = None
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush() -> None:
-            if len(held) > 1:
-                out.append(_verify(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [np.frombuffer(x[2], np.uint64) for x in held], threshold, forest))
-            held.clear()
-
-        def batch_of() -> pa.RecordBatch:
-            parts = [pa.array(np.concatenate(x)) for x in zip(*out)] if out else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
-            out.clear()
-            return pa.RecordBatch.from_arrays(parts, ["a", "b", "jaccard"])
-
-        for batch in batches:
-            for key, rid, side, grams in zip(*(column(batch, c).to_pylist() for c in ("key", "rid", "side", "grams"))):
-                if key != current:
-                    flush()
-                    current = key
-                held.append((rid, side, grams))
-            yield batch_of()
-        flush()
-        yield batch_of()
+    def compare(rids: np.ndarray, sides: np.ndarray, loads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _verify(rids, sides, [np.frombuffer(x, np.uint64) for x in loads], threshold, forest)
 
     wanted = _keyed(docs).join(small_or_not(needed, 24), "rid").select("rid", "key", "side", "text")
-    shipped = wanted.mapInArrow(sets, "rid bigint, key bigint, side int, grams binary")
-    return shipped.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint, jaccard double")
+    return verified(wanted.mapInArrow(sets, "rid bigint, key bigint, side int, load binary"), compare).withColumnRenamed("similarity", "jaccard")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
@@ -227,20 +180,6 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rec
     return near.unionByName(lists.filter("size(ids) > 1").select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(rep, root): the least member of each connected group of (a, b). Labels halve their way to the root; each round is written to the shared folder."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    now = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(now.select(F.col("rep").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        step = now.join(near, now["rep"] == near["a"], "left").select("rep", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        up = now.select(F.col("rep").alias("root"), F.col("root").alias("top"))
-        new = materialise(step.join(up, "root", "left").select("rep", "was", F.least("root", "top").alias("root")))
-        if new.filter("root <> was").isEmpty():
-            return new.select("rep", "root")
-        now = new.select("rep", "root")
-
-
 def drop_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
     """docs without all but one of each group that similar pairs connect: the least doc_id stays. Texts without words stay."""
     bands, rows = choose_bands(threshold, recall)

@@ -19,8 +19,15 @@ ROOT = str(Path(__file__).resolve().parents[2])
 BROADCAST_BYTES = 16 << 20
 
 
+#: Bytes of an Arrow batch for Python workers, unless the session says otherwise: very long texts then come few at a time.
+BATCH_BYTES = 8 << 20
+_SPARKS_OWN = ("67108864b", "64MB", "67108864")
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this library, wherever the driver was started from."""
+    """Lets Python workers import this library, wherever the driver was started from, and keeps their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64MB") in _SPARKS_OWN:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:

@@ -66,14 +66,15 @@ def steps(duckdb: bool = False) -> list[str]:
 
 
 def stem_vocabulary(words: DataFrame, word: str = "term", out: str = "stem") -> DataFrame:
-    """words with their stems in one more column; meant for distinct words."""
-    first = f"CASE WHEN `{word}` LIKE 'y%' THEN concat('Y', substr(`{word}`, 2)) ELSE `{word}` END AS w"
-    df = words.selectExpr("*", first)
-    kept = [f"`{c}`" for c in words.columns]
-    for sql in steps():
-        df = df.selectExpr(*kept, f"{sql} AS w")
+    """words with their stems in one more column; meant for distinct words.
+
+    Each step is bound to w by a lambda: as a projection over the one before, its many uses of w would multiply whenever the optimizer moves a filter through all steps.
+    """
+    w = f"CASE WHEN `{word}` LIKE 'y%' THEN concat('Y', substr(`{word}`, 2)) ELSE `{word}` END"
     last = "CASE WHEN w LIKE 'Y%' THEN concat('y', substr(w, 2)) ELSE w END"
-    return df.selectExpr(*kept, f"CASE WHEN length(`{word}`) <= 2 THEN `{word}` ELSE {last} END AS `{out}`")
+    for step in [*steps(), last]:
+        w = f"transform(array({w}), w -> {step})[0]"
+    return words.selectExpr("*", f"CASE WHEN length(`{word}`) <= 2 THEN `{word}` ELSE {w} END AS `{out}`")
 
 
 def duckdb_stems(words: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import analyze, byte_length, clean, lower
@@ -284,7 +284,7 @@ def unbounded_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH e AS (SELECT doc_id, text || ' everywhere' AS text FROM documents), "
-    + _search(_BM25, k=0, table="e", asked="SELECT 1 AS query_id, 'everywhere' AS text").removeprefix("WITH ")
+    + _search(_BM25, k=0, table="e", asked="SELECT CAST(1 AS BIGINT) AS query_id, 'everywhere' AS text").removeprefix("WITH ")
     + _RES
 )
 def zero_idf_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,14 +401,3 @@ def eval_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evaluate(_found(spark, sf_dir, k=1000), _judgments(spark, sf_dir))
-
-
-@query(None)
-def documents_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three terms of most weight in each document (a report; ties by term)."""
-    docs = _docs(spark, sf_dir)
-    postings = index.build_postings(docs, FULL)
-    weighed = postings.join(index.build_lexicon(postings).select("term", "df"), "term").crossJoin(F.broadcast(index.build_stats(index.documents(docs))))
-    score = F.round((1 + F.log("tf")) * F.log(F.col("n") / F.col("df")), 6).alias("score")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))
-    return weighed.select("doc_id", "term", score).withColumn("place", place).filter("place <= 3").select("doc_id", "term", "score", "place")

@@ -45,13 +45,13 @@ def lower(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Without accents and control characters (but for new lines and tabs)."""
+    """Without accents and control characters (but for new lines and tabs). Text in plain ASCII only loses its control characters."""
     one, to, several = folding()
-    text = F.translate(text, one, to)
+    bare_text = F.translate(text, one, to)
     for c, bare in several:
-        text = F.replace(text, F.lit(c), F.lit(bare))
-    text = F.regexp_replace(text, r"\p{Mn}+", "")
-    return F.regexp_replace(text, CONTROL, "")
+        bare_text = F.replace(bare_text, F.lit(c), F.lit(bare))
+    bare_text = F.regexp_replace(F.regexp_replace(bare_text, r"\p{Mn}+", ""), CONTROL, "")
+    return F.when(F.octet_length(text) == F.char_length(text), F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f]", "")).otherwise(bare_text)
 
 
 def clean(text: Column) -> Column:

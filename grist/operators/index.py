@@ -31,10 +31,24 @@ def stem_terms(df: DataFrame) -> DataFrame:
     return df.join(stems, "term").withColumn("term", F.col("stem")).drop("stem")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer partitions than there are cores; larger inputs are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def tokens(texts: DataFrame, keys: list[str], content: str, stopwords_removal: bool) -> DataFrame:
+    """(*keys, term), a row for each token.
+
+    Keys and tokens are made below the generator, once for each text. The outer form keeps the optimizer from adding a filter on the tokens, which would analyse each text again.
+    """
+    listed = texts.select(*keys, analyze(F.col(content), stopwords_removal).alias("__tokens"))
+    return listed.select(*keys, F.explode_outer("__tokens").alias("term")).filter("term IS NOT NULL")
+
+
 def term_counts(texts: DataFrame, keys: list[str], content: str, settings: IndexSettings, count: str = "tf") -> DataFrame:
     """(*keys, term, count): how often each term is in each text. Stems are counted together."""
-    tokens = texts.select(*keys, F.explode(analyze(F.col(content), settings.stopwords_removal)).alias("term"))
-    counts = tokens.groupBy(*keys, "term").agg(F.count("*").alias(count))
+    counts = tokens(texts, keys, content, settings.stopwords_removal).groupBy(*keys, "term").agg(F.count("*").alias(count))
     if settings.stemming:
         counts = stem_terms(counts).groupBy(*keys, "term").agg(F.sum(count).alias(count))
     return counts
@@ -42,7 +56,7 @@ def term_counts(texts: DataFrame, keys: list[str], content: str, settings: Index
 
 def build_postings(collection: DataFrame, settings: IndexSettings) -> DataFrame:
     """(term, doc_id, tf, size)."""
-    sized = collection.withColumn("size", byte_length(F.col("content")))
+    sized = spread(collection).withColumn("size", byte_length(F.col("content")))
     return term_counts(sized, ["doc_id", "size"], "content", settings).select("term", "doc_id", "tf", "size")
 
 

@@ -13,9 +13,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import analyze, byte_length
+from ..functions.analysis import byte_length
 from ..settings import IndexSettings, SearchSettings
-from .index import Index, build_lexicon, build_stats, documents, stem_terms, term_counts
+from .index import Index, build_stats, documents, spread, stem_terms, term_counts, tokens
 from .scoring import SCORERS
 
 
@@ -61,14 +61,15 @@ def search_collection(collection: DataFrame, queries: DataFrame, settings: Searc
     settings, index = settings or SearchSettings(), index or IndexSettings()
     terms = query_terms(queries, index)
     wanted = terms.select("term").distinct()
-    sized = collection.select("doc_id", byte_length(F.col("content")).alias("size"), "content")
-    tokens = sized.select("doc_id", "size", F.explode(analyze(F.col("content"), index.stopwords_removal)).alias("term"))
+    sized = spread(collection).select("doc_id", byte_length(F.col("content")).alias("size"), "content")
+    every = tokens(sized, ["doc_id", "size"], "content", index.stopwords_removal)
     if index.stemming:  # the distinct words of the collection are stemmed; those that stem to a query's term are kept
-        counted = tokens.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+        counted = every.groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
         counted = stem_terms(counted).join(wanted, "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.sum("tf").alias("tf"))
     else:
-        counted = tokens.join(wanted, "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
-    known = lookup(terms, build_lexicon(counted))
+        counted = every.join(wanted, "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    # A count that needs tf leaves both uses of counted with the same shuffle, so texts are analysed once.
+    known = lookup(terms, counted.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("bigint")).alias("df")))
     return top_k(matches(known, counted, build_stats(documents(collection)), settings), settings.k).select("query_id", "rank", "doc_id", "score")
 
 

@@ -93,3 +93,24 @@ def check_file(path: str) -> str:
         if os.path.isdir(path):
             raise IsADirectoryError(f"provided path {path} is a folder")
     return path
+
+
+def check_path(path: str) -> str:
+    """path, if something is there to read, a file or a folder; paths with a scheme are left to Spark."""
+    if not re.match(r"[a-z][a-z0-9+.-]*://", path) and not os.path.exists(path):
+        raise FileNotFoundError(path)
+    return path
+
+
+def run_file(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, doc_id, rank, score) of a run file; doc_id is its document's number as text."""
+    p = F.split(F.trim("value"), r"\s+")
+    fields = spark.read.text(path).select(p.alias("p")).filter(F.size("p") >= 5)
+    return fields.selectExpr("try_cast(p[0] AS bigint) AS query_id", "p[2] AS doc_id", "try_cast(p[3] AS bigint) AS rank", "try_cast(p[4] AS double) AS score")
+
+
+def qrels_file(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, doc_id, grade) of a file of judgments."""
+    p = F.split(F.trim("value"), r"\s+")
+    fields = spark.read.text(path).select(p.alias("p")).filter(F.size("p") >= 4)
+    return fields.selectExpr("try_cast(p[0] AS bigint) AS query_id", "p[2] AS doc_id", "try_cast(p[3] AS int) AS grade")

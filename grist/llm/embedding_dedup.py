@@ -119,5 +119,5 @@ def drop_near(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
     pairs = similar_pairs(vectors, threshold, recall, width, rows)
     roots = components(pairs.select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b")))
     gone = materialise(roots.filter("rep <> root").select(F.col("rep").alias("__id")))
-    kept = vectors.withColumn("__id", F.col("vec_id").cast("bigint"))
-    return kept.join(small_or_not(gone, 8), "__id", "left_anti").drop("__id")
+    kept = vectors.select(F.struct("*").alias("__row"), F.col("vec_id").cast("bigint").alias("__id"))
+    return kept.join(small_or_not(gone, 8), "__id", "left_anti").select("__row.*")

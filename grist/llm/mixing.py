@@ -151,9 +151,9 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     chosen, bits = _assigned(docs, weights, block, shard, seed)
     ends = chosen.groupBy("__s", "__shard").agg(F.min(F.struct("__bucket", "__h")).alias("lo"), F.max(F.struct("__bucket", "__h")).alias("hi"))
     ends = materialise(ends.withColumn("__bucket", F.explode(F.sequence("lo.__bucket", "hi.__bucket"))))
-    own = docs.select("*", *_keys(docs, seed))
+    own = docs.select(F.struct("*").alias("__row"), *_keys(docs, seed))  # a struct, so that no column of docs clashes
     own = own.withColumn("__bucket", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
     here = F.struct("__bucket", "__h")
     placed = own.join(small_or_not(ends, 64), ["__s", "__bucket"]).filter((here >= F.col("lo")) & (here <= F.col("hi")))
     placed = placed.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed + 1), "__h"), "__h")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed.select("__row.*")

@@ -190,10 +190,10 @@ def drop_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recal
     stays = each.groupBy("root").agg(F.min("m").alias("best"))
     marked = each.join(stays, "root").groupBy(F.col("m.rid").alias("rid")).agg(F.count("*").alias("rows"), F.max(F.col("m.rid") == F.col("best.rid")).alias("best"))
     marked = materialise(marked.filter("NOT best OR rows > 1"))
-    keyed = docs.withColumn("__rid", row_key(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    kept = keyed.join(small_or_not(marked.select(F.col("rid").alias("__rid")), 8), "__rid", "left_anti").drop("__rid")
+    keyed = docs.select(F.struct("*").alias("__row"), row_key(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("__rid"))
+    kept = keyed.join(small_or_not(marked.select(F.col("rid").alias("__rid")), 8), "__rid", "left_anti").select("__row.*")
     once = marked.filter("best").select(F.col("rid").alias("__rid"))
     if once.isEmpty():
         return kept
-    again = keyed.join(small_or_not(once, 8), "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")  # equal rows: one stays
+    again = keyed.join(small_or_not(once, 8), "__rid", "left_semi").dropDuplicates(["__rid"]).select("__row.*")  # equal rows: one stays
     return kept.unionByName(again)

@@ -14,7 +14,7 @@ deterministic parser looks at no more than WINDOW bytes and decides the exact bo
                    After a cue such as "account" or "passport": 5 to 20 letters, digits and hyphens, four digits at least
 
 Results have character positions, start and end, in the whole text; findings of a text don't overlap (the earliest stays, of equal
-starts the longest). Defined results: null or empty text has none; null ids stay null; each of equal rows is
+starts the longest, of equal spans the more specific kind). Defined results: null or empty text has none; null ids stay null; each of equal rows is
 reported; other columns are passed over.
 """
 
@@ -196,7 +196,7 @@ def scan(text: str | None) -> list[tuple[str, int, int, bool]]:
             found.add(x)
             done[kind] = max(done.get(kind, -1), x[2] - 1)
     out: list[tuple[str, int, int, bool]] = []
-    for kind, a, b, valid in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+    for kind, a, b, valid in sorted(found, key=lambda x: (x[1], -x[2], x[0] == "account", x[0])):
         if not out or a >= out[-1][2]:
             out.append((kind, a, b, valid))
     if len(data) == len(text):

@@ -1,0 +1,351 @@
+"""Each operator against a plain version of itself, and on awkward tables."""
+
+import base64
+import json
+import math
+import random
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from grist.llm import chat_format, embedding_dedup, html_extract, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan
+from grist.llm.common import ship
+from grist.llm.queries import ORACLE_SQL, QUERIES
+from grist.llm.text import gram_set
+from tests.oracle import SF, same
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid bigint, key string, score double, shard int, __s string, __rid bigint, lo int"
+WORDS = "amber basin cedar delta ember fjord grove haven inlet jetty knoll ledge marsh north ocean plain quartz ridge shore tidal".split()
+SECRET = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def row(i, text, source="a"):
+    return (i, text, "en", source, None if text is None else len(text), 1, "k", 0.5, 2, "s", 3, 4)
+
+
+def awkward(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns."""
+    long = " ".join(random.Random(1).choices(WORDS, k=60_000))
+    rows = [row(1, None), row(2, ""), row(3, "  \n"), row(4, long), row(5, long + " end"), row(6, "short"), row(6, "short"), row(None, "amber basin cedar delta"), row(8, "amber basin cedar delta", None), row(9, "!!! ???")]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def labels(spark, pairs):
+    return spark.createDataFrame([(i, q, 0, "x") for i, q in pairs], "doc_id bigint, quality int, toxic int, text string")
+
+
+def texts(n=120, seed=2):
+    chance = random.Random(seed)
+    out = [" ".join(chance.choices(WORDS, k=chance.randint(8, 60))) for _ in range(n // 2)]
+    while len(out) < n:  # near copies of every degree
+        w = chance.choice(out).split()
+        for _ in range(chance.randint(0, 6)):
+            w[chance.randrange(len(w))] = chance.choice(WORDS)
+        out.append(" ".join(w))
+    return out
+
+
+def test_all_are_registered():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    same(spark, QUERIES[name], ORACLE_SQL[name])
+
+
+# --- 1 -----------------------------------------------------------------------------------------------------------
+
+
+def test_html_template(spark):
+    ship(spark)
+    menu, foot = "<nav><ul><li>Home<li>About</ul></nav>", "<div class=foot>All rights &copy; us</div>"
+    rows = [(i, f"http://Site.example/{i}", f"<html><head><title>t</title></head><body>{menu}<p>Own text {i} &amp; {'more ' * 20}<br>line</p>{foot}<script>var x</script></body>") for i in range(12)]
+    rows += [(100, None, None), (101, "bad", ""), (102, "http://other.example/", f"{menu}<p>alone"), (102, "http://other.example/", f"{menu}<p>alone"), (103, "http://other.example/", "<" * 20000 + "a < b")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, text string, rid int")
+    for limit in (1 << 20, 0):  # both ways that templates reach pages
+        out = {r["page_id"]: r for r in html_extract.extract_pages(df, limit=limit).collect()}
+        for i in range(12):
+            assert out[i]["text"] == f"Own text {i} & {'more ' * 20}".strip() + "\nline" and out[i]["removed"] == 2 and out[i]["host"] == "site.example"
+        assert out[100]["text"] is None and out[101]["text"] == "" and "Home" in out[102]["text"] and out[103]["text"].endswith("a < b")
+    assert html_extract.extract_pages(df).count() == len(rows)
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_html_counts_against_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", html_extract.host_of(pages["url"]), "html").collect()]
+    count, size = Counter((h, x) for _, h, p in rows for x in html_extract.candidates(p)), Counter(h for _, h, _ in rows)
+    want = {i: html_extract.extract(p, {x for (g, x), n in count.items() if g == h and n >= max(5, 0.01 * size[h])}) for i, h, p in rows}
+    got = {r["page_id"]: (r["text"], r["removed"]) for r in QUERIES["op1_html_extraction"](spark, SF).collect()}
+    assert got == want
+
+
+# --- 2 -----------------------------------------------------------------------------------------------------------
+
+
+def test_packing(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [r.asDict() for r in QUERIES["op2_best_fit_packing"](spark, SF).collect()]
+    e = packing.encoding(packing.VOCABULARY)
+    want = {r["doc_id"]: len(e.encode_ordinary(r["text"])) for r in df.collect()}
+    have, bins = Counter(), {}
+    for r in out:
+        have[r["doc_id"]] += r["tokens"]
+        bins.setdefault(r["bin"], []).append(r)
+    assert have == {k: v for k, v in want.items() if v}
+    for pieces in bins.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["position"]):
+            assert r["position"] == at
+            at += r["tokens"]
+        assert at == r["used"] and r["length"] == min(x for x in packing.LENGTHS if x >= at)
+    for df in (awkward(spark), empty(spark)):
+        got = packing.packed(df).collect()
+        assert {r["doc_id"] for r in got} == ({3, 4, 5, 6, None, 8, 9} if df.count() else set())
+    assert sum(r["tokens"] for r in packing.packed(awkward(spark)).filter("doc_id = 6").collect()) == 2 * len(e.encode_ordinary("short"))
+
+
+def test_packing_chooses_the_cheapest():
+    chance = random.Random(3)
+    items = sorted((chance.randint(1, 8192) for _ in range(300)), reverse=True)
+    where, used, size = packing.pack(items)
+    assert sum(used) == sum(items) and all(u <= s for u, s in zip(used, size))
+    for k in range(4):
+        assert sum(map(packing.cost, size)) <= packing._packed(items, packing.LENGTHS[k:], packing.LENGTHS)[0] + 1e-6
+
+
+# --- 3 and 6 -----------------------------------------------------------------------------------------------------
+
+
+def test_embedding_pairs_against_brute_force(spark):
+    chance = np.random.default_rng(4)
+    base = chance.standard_normal((150, 32))
+    v = np.concatenate([base, base[:100] + chance.standard_normal((100, 32)) * np.linspace(0.02, 0.3, 100)[:, None], base[:3]])
+    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [math.nan] * 32), (904, [1.0, None]), (905, [1.0, 2.0]), (None, [1.0] * 32), (0, base[0].tolist())]
+    df = spark.createDataFrame([(i, x.tolist(), 1, 2) for i, x in enumerate(v)] + [(*o, 1, 2) for o in odd], "vec_id bigint, embedding array<double>, label int, rep int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i, j in combinations(range(len(u)), 2) if u[i] @ u[j] >= 0.95}
+    got = {(r["vec_a"], r["vec_b"]) for r in embedding_dedup.similar_pairs(df).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and {(0, 250), (1, 251), (2, 252)} <= got
+    kept = embedding_dedup.drop_near(df)
+    assert kept.columns == df.columns
+    ids = [r["vec_id"] for r in kept.collect()]
+    assert not ({b for _, b in got} & set(ids)) and ids.count(0) == 2 and ids.count(None) == 1
+    assert embedding_dedup.similar_pairs(df.limit(0)).count() == 0
+
+
+def test_jaccard_pairs_against_brute_force(spark):
+    own = texts()
+    df = spark.createDataFrame([row(i, t) for i, t in enumerate(own)], SCHEMA)
+    grams = [gram_set(t, 3) for t in own]
+    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in combinations(enumerate(grams), 2) if len(a & b) >= 0.5 * len(a | b)}
+    got = {}
+    for r in ngram_join.similar_pairs(df).collect():
+        for a in r["docs_a"]:
+            for b in r["docs_b"]:
+                if a != b:
+                    got[min(a, b), max(a, b)] = r["jaccard"]
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    root = list(range(len(own)))
+    for a, b in sorted(got) * 5:
+        root[b] = root[a] = min(root[a], root[b])
+    kept = [r["doc_id"] for r in ngram_join.drop_copies(df).collect()]
+    assert all(root[i] == i for i in kept if any(i in p for p in got)) and {i for i in range(len(own)) if not any(i in p for p in got)} <= set(kept)
+
+
+def test_jaccard_awkward_tables(spark):
+    df = awkward(spark)
+    kept = ngram_join.drop_copies(df)
+    assert kept.schema == df.schema
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 8, 9])
+    pairs = {(tuple(r["docs_a"]), tuple(r["docs_b"])) for r in ngram_join.similar_pairs(df).collect()}
+    assert pairs & {((4,), (5,)), ((5,), (4,))} and all(set(a + b) <= {4, 5} for a, b in pairs)
+    assert ngram_join.drop_copies(empty(spark)).count() == 0 and ngram_join.similar_pairs(empty(spark)).count() == 0
+
+
+def test_bands_reach_the_recall():
+    for t in (0.3, 0.5, 0.8, 1.0):
+        bands, rows = ngram_join.choose_bands(t, 0.95)
+        assert 1 - (1 - t**rows) ** bands >= 0.95 and bands * rows <= ngram_join.MAX_HASHES
+    n = embedding_dedup.choose_tables(0.95, 0.95)
+    assert 1 - (1 - embedding_dedup.collision(math.sqrt(0.1), embedding_dedup.WIDTH) ** embedding_dedup.ROWS) ** n >= 0.95
+
+
+# --- 4 -----------------------------------------------------------------------------------------------------------
+
+
+def test_mixing_quotas_and_shards(spark):
+    own = [row(i, f"text {i}", s) for s, a, n in (("a", 0, 700), ("b", 1000, 300), (None, 2000, 100), ("tiny", 3000, 3)) for i in range(a, a + n)]
+    df = spark.createDataFrame(own, SCHEMA)
+    weights = {"a": 2.0, "b": 1.0, None: 1.0, "tiny": 0.1}
+    plan = mixing.mix_plan(df, weights, shard=64).collect()
+    assert Counter(r["source"] for r in plan) == {"a": 192, "b": 96, None: 96, "tiny": 3}
+    assert len({r["doc_id"] for r in plan}) == len(plan)
+    by = {}
+    for r in plan:
+        by.setdefault(r["shard"], []).append(r["position"])
+    assert all(sorted(p) == list(range(len(p))) for p in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 16
+    out = mixing.mixed(df, weights, shard=64)
+    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in plan}
+    assert mixing.mix_plan(df.repartition(9), weights, shard=64).exceptAll(mixing.mix_plan(df, weights, shard=64)).count() == 0
+    for t in (awkward(spark), empty(spark)):
+        assert mixing.mixed(t).count() == mixing.mix_plan(t).count() and mixing.mixed(t).schema.fieldNames() == t.columns
+
+
+def test_splitting_tree_is_exact_and_fair():
+    blocks, shards = [50, 30, 7], 8
+    leaves = list(mixing.tree(blocks, shards, 0, shards))
+    assert [sum(x[2][k] for x in leaves) for k in range(3)] == blocks
+    for k in range(3):  # intervals follow each other
+        at = 0
+        for _, first, n in sorted(leaves):
+            assert first[k] == at
+            at += n[k]
+    assert [x for m in range(shards) for x in mixing.tree(blocks, shards, m, m + 1)] == sorted(leaves)
+    mean = np.mean([list(mixing.tree(blocks, 2, 0, 1, seed=s))[0][2][0] for s in range(400)])
+    assert abs(mean - 50 * 43 / 87) < 0.6
+
+
+# --- 5 and 8 -----------------------------------------------------------------------------------------------------
+
+
+def good_and_bad(n=200):
+    chance = random.Random(5)
+    good = [(i, " ".join(chance.choices(WORDS, k=30)) + ".", 1) for i in range(n)]
+    bad = [(n + i, "!!! ".join(chance.choices([w.upper() for w in WORDS], k=30)), 0) for i in range(n)]
+    return good + bad
+
+
+def test_classifiers_on_held_out_rows(spark):
+    own = good_and_bad()
+    df = spark.createDataFrame([row(i, t) for i, t, _ in own], SCHEMA)
+    known = labels(spark, [(i, y) for i, _, y in own if i % 2])
+    truth = {i: y for i, _, y in own if i % 2 == 0}
+    scored = {r["doc_id"]: r["keep"] for r in quality_classifier.score(df, quality_classifier.train(df, known)).collect()}
+    ruled = {r["doc_id"]: r for r in quality_rules.apply_rules(df, quality_rules.train(df, known)).collect()}
+    assert np.mean([scored[i] == (y == 1) for i, y in truth.items()]) > 0.95
+    assert np.mean([(ruled[i]["rule"] == "keep") == (y == 1) for i, y in truth.items()]) > 0.95
+    assert abs(np.mean([ruled[i]["probability"] for i in truth]) - 0.5) < 0.1  # calibrated
+
+
+def test_classifiers_on_awkward_tables(spark):
+    df, none = awkward(spark), labels(spark, [])
+    for lab in (none, labels(spark, [(4, 1), (4, 0), (None, 1), (6, None)])):
+        model = quality_classifier.train(df, lab)
+        got = Counter((r["doc_id"], r["keep"]) for r in quality_classifier.score(df, model).collect())
+        assert got[1, False] == got[2, False] == 1 and got[4, True] == 1 and got[6, True] == 2 and got[None, True] == 1
+        assert quality_classifier.keep_good(df, model).schema == df.schema
+        rules = {r["doc_id"]: r["rule"] for r in quality_rules.apply_rules(df, quality_rules.train(df, lab)).collect()}
+        assert rules[1] == rules[2] == "reject" and rules[4] == "keep"
+    assert quality_classifier.score(empty(spark), quality_classifier.train(empty(spark), none)).count() == 0
+    assert quality_rules.apply_rules(empty(spark), quality_rules.train(empty(spark), none)).count() == 0
+
+
+# --- 7 -----------------------------------------------------------------------------------------------------------
+
+
+def test_chats(spark):
+    tools = {"tools": [{"name": "sum", "parameters": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}}}]}
+    call = lambda *cs: json.dumps({"content": None, "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in cs]})
+    rows = [
+        (1, 0, "system", json.dumps(tools)), (1, 1, "user", "hi"), (1, 2, "assistant", call(("x", "sum", {"a": {"$result": "y"}}), ("y", "sum", {"a": 1.0}))),
+        (1, 3, "tool", '{"tool_call_id":"x","content":{"v": 2, "a": 1}}'), (1, 4, "tool", '{"tool_call_id":"y","content":"ok"}'), (1, 4, "tool", '{"tool_call_id":"y","content":"ok"}'),
+        (2, 0, "assistant", call(("p", "nope", {}), ("p", "sum", {}), ("q", "sum", {"a": "s"}))), (2, 1, "tool", '{"tool_call_id":"z","content":1}'), (2, None, None, None), (2, 5, "user", ""),
+        (None, 0, "user", "{not json " + "x" * 300_000), (3, 0, "assistant", call(("m", "sum", {"a": {"$result": "n"}}), ("n", "sum", {"a": {"$result": "m"}}))), (3, 1, "tool", '{"tool_call_id":"m","content":0}'), (3, 1, "tool", '{"tool_call_id":"n","content":0}'),
+    ]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, content string, key int")
+    out = {r["conv_id"]: r for r in chat_format.format_chats(df, {"sum": tools["tools"][0]["parameters"]}).collect()}
+    one = json.loads(out[1]["chat"])
+    assert [x.get("id", x.get("role")) for x in one] == ["system", "user", "assistant", "y", "y", "x", "x"] and out[1]["problems"] == [] and out[1]["linked"] == 2
+    assert '{"arguments":{"a":1},"id":"y","name":"sum","type":"call"}' in out[1]["chat"] and '{"a":1,"v":2}' in out[1]["chat"]
+    assert {"no_result:p", "unknown_tool:p", "duplicate_call:p", "invalid_arguments:q:$.a", "no_call:z"} <= set(out[2]["problems"])
+    assert out[2]["chat"].startswith('[{"content":null,"role":null,"type":"message"}') and out[None]["messages"] == 1
+    assert {p for p in out[3]["problems"] if p.startswith("cycle")} == {"cycle:m", "cycle:n"}
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+    every = chat_format.format_chats(spark.read.parquet(f"{SF}/conversations.parquet")).collect()
+    assert all(chat_format.canonical(json.loads(r["chat"])) == r["chat"] for r in every)  # canonical: a fixed point
+
+
+# --- 9 and 10 ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("write to Ann.Lee+x@mail.example.com.", [("email", "Ann.Lee+x@mail.example.com")]),
+        ("é: https://bob:pw@host.example/x", [("url_credentials", "bob:pw")]),
+        ("at 10.0.0.1, not 1.2.3.4.5 or 300.1.1.1", [("ipv4", "10.0.0.1")]),
+        ("call +1 (743) 555-3824 now", [("phone", "+1 (743) 555-3824")]),
+        ("ssn 123-45-6789, no 000-45-6789", [("ssn", "123-45-6789")]),
+        ("card 4111 1111 1111 1111!", [("account", "4111 1111 1111 1111")]),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 ok", [("iban", "GB82 WEST 1234 5698 7654 32")]),
+        ("a @ b, user@host, 12:30, 3.14 and 2024-05-06", []),
+    ],
+)
+def test_pii(text, want):
+    for around in ("", "ü" * 1000 + " ", "word " * 50_000):
+        whole = around + text
+        assert [(k, whole[a:b]) for k, a, b, _ in pii.scan(whole)] == want
+
+
+def der(*parts):
+    body = b"".join(parts)
+    return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
+
+
+def test_secrets():
+    key = base64.b64encode(der(b"\x02\x01\x00", b"\x02\x20" + bytes(range(1, 33)), b"\x04\x10" + bytes(range(16)))).decode()
+    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32))).decode()
+    b64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{b64({'alg': 'HS256'})}.{b64({'sub': 1})}.c2ln"
+    pem = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"
+    for text, kind, what in [(f"x {key} y", "der_key", key), (pem, "der_key", pem), (f"k {ssh}", "ssh_key", ssh), (f"t {token} u", "signed_token", token), (f'token = "{SECRET}"', "hex_key", SECRET)]:
+        whole = "é " * 1000 + text
+        assert [(k, whole[a:b]) for k, a, b in secret_scan.scan(whole)] == [(kind, what)]
+    for text in (key[:-8] + "AAAA" + key[:8], f"{b64([1])}.{b64({'a': 1})}.x", SECRET, "token = aaaaaaaaaaaaaaaa", "password = correcthorsebattery", "", None):
+        assert secret_scan.scan(text) == []
+
+
+def test_findings_on_awkward_tables(spark):
+    df = awkward(spark).union(spark.createDataFrame([row(20, f'token = "{SECRET}" a@mail.example.com'), row(20, f'token = "{SECRET}" a@mail.example.com'), row(None, "b@mail.example.com")], SCHEMA))
+    assert Counter((r["doc_id"], r["kind"]) for r in pii.find(df).collect()) == {(20, "email"): 2, (None, "email"): 1}
+    assert Counter((r["doc_id"], r["kind"]) for r in secret_scan.find(df).collect()) == {(20, "hex_key"): 2}
+    clean = secret_scan.redact(df)
+    assert clean.schema == df.schema and clean.count() == df.count()
+    new = clean.filter("doc_id = 20").first()
+    assert new["text"] == 'token = "[SECRET]" a@mail.example.com' and new["n_chars"] == len(new["text"])
+    assert clean.exceptAll(df).count() == 2
+    for f in (pii.find, secret_scan.find, secret_scan.redact):
+        assert f(empty(spark)).count() == 0
+
+
+# --- the pipeline ------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes, at = [], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == docs.columns, name
+        sizes.append(at.count())
+    assert docs.count() > sizes[0] > sizes[1] == sizes[2] >= sizes[3] > 0
+    left = {r["doc_id"]: r["text"] for r in at.collect()}
+    assert all(not secret_scan.scan(t) for t in left.values())
+    grams = {i: gram_set(t, 3) for i, t in left.items()}
+    assert not [1 for a, b in combinations(grams.values(), 2) if a and len(a & b) >= 0.7 * len(a | b)]
+    e = packing.encoding(packing.VOCABULARY)
+    got = Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r["doc_id"]] += r["tokens"]
+    assert got == {i: len(e.encode_ordinary(t)) for i, t in left.items() if t}

@@ -32,7 +32,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest mixture of sources at their target weights, shard by shard in shuffled order."""
+    """The mixture of sources at their target weights, as far as their supplies go, shard by shard in shuffled order."""
     ship(spark)
     return mixing.mixed(docs)
 

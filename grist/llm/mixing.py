@@ -1,8 +1,11 @@
 """Mixing sources to target weights (operator 4): a multivariate-hypergeometric splitting tree over blocks.
 
 Each source's documents, in the order of a seeded hash, are its permuted order, cut into blocks of BLOCK documents.
-Whole blocks fill a source's quota: the largest mixture in which every source has its weight exactly, up to the
-rounding to blocks, without repeating a document. The root of the tree holds the quotas of all sources;
+Blocks fill a source's quota, its weight times one level for all sources, up to the rounding to blocks; a source whose quota
+exceeds its supply gives everything it has, and no document is repeated. With weights, the level is the highest at which sources that fall short hold
+no more than SHORT of the weight. Without weights, it rises further until KEEP of all documents are in the mixture, so what small sources
+lack is spread over the others by weight, and no source, small or hot, costs more than 1 - KEEP of the documents.
+The root of the tree holds the quotas of all sources;
 a node splits its quotas between the two halves of its output shards by a multivariate hypergeometric draw, down to
 single shards, so shards are equal in blocks and jointly distributed as a uniform shuffle of all chosen blocks. A shard takes the
 next blocks of each source, so blocks are disjoint, and shuffles its own documents.
@@ -12,7 +15,7 @@ ever holds one count for each source. Ranks come from a shuffle of keys by (sour
 groups have about BUCKET documents at every size, so a hot source is no skew.
 
 Defined results: null is a source of its own. A source of fewer than BLOCK documents gives them all as one short
-block and doesn't bound the mixture; a source of weight 0 or null, or that isn't named in weights, gives none. Rows that agree in source, doc_id
+block, any other one block at least; a source of weight 0 or null, or that isn't named in weights, gives none. Rows that agree in source, doc_id
 and text share a rank and stay together, so quotas are exact if rows are distinct. An empty table gives an empty mixture. Other columns are passed over,
 or passed through by mixed().
 """
@@ -30,26 +33,41 @@ from pyspark.sql import functions as F
 from .common import column, materialise, row_key, small_or_not
 
 BLOCK, SHARD, BUCKET, TEMPERATURE, SEED = 8, 4096, 4096, 0.7, 4
+#: The share of the weight that may fall short when weights are exact; the share of all documents that a mixture without weights has at least.
+SHORT, KEEP = 0.05, 0.9
 
 
-def quotas(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, block: int = BLOCK, temperature: float = TEMPERATURE) -> dict[str | None, int]:
-    """Blocks for each source. Without weights, a source weighs its number of documents to the power of temperature."""
+def quotas(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, keep: float = KEEP) -> dict[str | None, int]:
+    """Blocks for each source, the last one of a source possibly short. Without weights, a source weighs its number of documents to the power of temperature."""
     w = {s: float(n) ** temperature if weights is None else float(weights.get(s) or 0.0) for s, n in counts.items()}
     w = {s: x for s, x in w.items() if x > 0 and counts[s] > 0}
-    out = {s: 1 for s in w if counts[s] < block}
-    large = {s: x for s, x in w.items() if s not in out}
-    if not large:
-        return out
-    total = min(counts[s] // block / x for s, x in large.items()) * sum(large.values())
-    total = math.floor(total + 1e-9)
-    exact = {s: total * x / sum(large.values()) for s, x in large.items()}
-    own = {s: min(math.floor(e + 1e-9), counts[s] // block) for s, e in exact.items()}
-    rest = sorted(large, key=lambda s: (own[s] - exact[s], s is None, s or ""))
-    for s in rest:  # by largest remainder
-        if sum(own.values()) >= total:
+    if not w:
+        return {}
+    # The level is blocks for each unit of weight; exact: where no more than SHORT of the weight falls short.
+    whole = {s: (counts[s] // block if counts[s] >= block else counts[s] / block) / x for s, x in w.items()}
+    level, short = 0.0, 0.0
+    for s in sorted(w, key=lambda s: (whole[s], s is None, s or "")):
+        level, short = whole[s], short + w[s]
+        if short > SHORT * sum(w.values()):
             break
-        if own[s] < counts[s] // block:
-            own[s] += 1
+    if weights is None:  # raised until the sources, each up to its supply, give the share keep of all documents
+        left, free = keep * sum(counts[s] for s in w) / block, sum(w.values())
+        for s in sorted(w, key=lambda s: counts[s] / w[s]):
+            if left / free <= counts[s] / block / w[s]:
+                break
+            left, free = left - counts[s] / block, free - w[s]
+        level = max(level, left / free) if free > 0 else math.inf
+    out = {s: math.ceil(counts[s] / block) for s, x in w.items() if counts[s] < block or level * x >= counts[s] / block - 1e-9}
+    exact = {s: level * x for s, x in w.items() if s not in out}
+    own = {s: max(1, math.floor(e + 1e-9)) for s, e in exact.items()}
+    more = math.floor(sum(exact.values()) + 1e-9) - sum(own.values())
+    lacks = (keep if weights is None else 0.0) * sum(counts[s] for s in w) - sum(min(counts[s], b * block) for s, b in (out | own).items())
+    for s in sorted(exact, key=lambda s: (own[s] - exact[s], s is None, s or "")):  # by largest remainder
+        if more <= 0 and lacks <= 0:
+            break
+        if own[s] * block < counts[s]:
+            lacks -= min(block, counts[s] - own[s] * block)
+            own[s], more = own[s] + 1, more - 1
     return out | own
 
 

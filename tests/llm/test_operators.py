@@ -202,6 +202,21 @@ def test_mixing_quotas_and_shards(spark):
         assert mixing.mixed(t).count() == mixing.mix_plan(t).count() and mixing.mixed(t).schema.fieldNames() == t.columns
 
 
+def test_mixing_is_not_bounded_by_one_small_source():
+    kept = lambda counts: sum(min(counts[s], b * mixing.BLOCK) for s, b in mixing.quotas(counts).items())
+    many = {f"s{i}": 1000 for i in range(18)} | {"hot": 100_000}
+    rows = [kept(many | {"small": n}) for n in (1, 7, 8, 9, 15, 16, 100)]
+    assert all(0.9 * 118_000 <= r <= 118_100 for r in rows) and max(rows) - min(rows) <= 120
+    assert kept({f"s{i}": 2100 for i in range(19)} | {"hot": 60_000}) >= 0.9 * 99_900
+    blocks = mixing.quotas(many | {"small": 15})
+    assert blocks["small"] == 2 and blocks["s0"] == 125  # all they have
+    even = {f"s{i}": 2000 + i for i in range(20)}
+    assert kept(even) >= 0.98 * sum(even.values())  # even sources lose no more than before
+    for n in (7, 8, 9):
+        assert mixing.quotas({"a": 7000, "b": 3000, "c": n}, {"a": 2.0, "b": 1.0, "c": 0.1})["b"] == 375
+    assert mixing.quotas({"a": 5, "b": 3}) == {"a": 1, "b": 1} and mixing.quotas({}) == {} and mixing.quotas({"a": 9}, {"b": 1.0}) == {}
+
+
 def test_splitting_tree_is_exact_and_fair():
     blocks, shards = [50, 30, 7], 8
     leaves = list(mixing.tree(blocks, shards, 0, shards))

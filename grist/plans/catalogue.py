@@ -112,13 +112,13 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three tokens of each query, so that conjunctive search finds something."""
+    """The first three tokens of each query; the conjunctive queries with whole in their names run on all of them."""
     first = F.array_join(F.slice(analyze(F.col("text")), 1, 3), " ")
     return _queries(spark, sf_dir).select("query_id", first.alias("text"))
 
 
-def _found(spark: SparkSession, sf_dir: str, metric: str = "BM25", k: int = 10, conjunctive: bool = False, settings: IndexSettings = PLAIN) -> DataFrame:
-    queries = (_short_queries if conjunctive else _queries)(spark, sf_dir)
+def _found(spark: SparkSession, sf_dir: str, metric: str = "BM25", k: int = 10, conjunctive: bool = False, settings: IndexSettings = PLAIN, short: bool = False) -> DataFrame:
+    queries = (_short_queries if short else _queries)(spark, sf_dir)
     return search.search_collection(_docs(spark, sf_dir), queries, SearchSettings(k, metric, conjunctive), settings)
 
 
@@ -243,11 +243,21 @@ def tfidf_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_search(_BM25, conjunctive=True, asked=_SHORT) + _RES)
 def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, conjunctive=True)
+    return _found(spark, sf_dir, conjunctive=True, short=True)
 
 
 @query(_search(_TFIDF, conjunctive=True, asked=_SHORT) + _RES)
 def tfidf_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "TFIDF", conjunctive=True, short=True)
+
+
+@query(_search(_BM25, conjunctive=True) + _RES)
+def bm25_and_whole_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, conjunctive=True)
+
+
+@query(_search(_TFIDF, conjunctive=True) + _RES)
+def tfidf_and_whole_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "TFIDF", conjunctive=True)
 
 
@@ -279,6 +289,11 @@ def repeated_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_search(_BM25, k=0, conjunctive=True, asked=_SHORT) + _RES)
 def unbounded_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, k=0, conjunctive=True, short=True)
+
+
+@query(_search(_BM25, k=0, conjunctive=True) + _RES)
+def unbounded_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, k=0, conjunctive=True)
 
 

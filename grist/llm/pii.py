@@ -1,7 +1,7 @@
 """PII by anchor expansion (operator 9): Aho-Corasick finds anchors, local parsers expand and validate around them.
 
 One automaton runs over each whole text, letters in lower case and every digit as 0, and finds at-signs, schemes, identifier
-cues (words such as "iban", and the digit shapes of addresses, telephone numbers and accounts). Around an anchor a
+cues (words such as "passport", and the digit shapes of addresses, telephone numbers, accounts, and of IBANs: two letters, two digits). Around an anchor a
 deterministic parser looks at no more than WINDOW bytes and decides the exact boundaries:
 
   email            a local part and a domain of two labels or more; letters beyond ASCII are allowed in both
@@ -9,8 +9,8 @@ deterministic parser looks at no more than WINDOW bytes and decides the exact bo
   ipv4             four numbers of 0 to 255 without leading zeros, not part of a longer dotted number
   phone            international (+), or North American with separators, or after tel:; 7 to 15 digits
   ssn              ddd-dd-dddd in its permitted ranges
-  iban             after its cue, or by itself; the check digits must be right
-  account          12 to 19 digits in one run or in groups of four; "valid" says whether the Luhn digit is right.
+  iban             with or without a cue, in one run or in groups of four; the check digits must be right
+  account          12 to 19 digits in one run, in groups of four, or grouped 4-6-5 or 4-6-4; "valid" says whether the Luhn digit is right.
                    After a cue such as "account" or "passport": 5 to 20 letters, digits and hyphens, four digits at least
 
 Results have character positions, start and end, in the whole text; findings of a text don't overlap (the earliest stays, of equal
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,7 +41,7 @@ _ANCHORS = {
     "phone": ("+0", "+(0", "(000)", "000-0000", "000 0000", "000.0000", "tel:"),
     "ssn": ("000-00-0000",),
     "account": ("0" * 12, "0000 0000", "0000-0000"),
-    "iban": ("iban",),
+    "iban": tuple(f"{a}{b}00" for a in string.ascii_lowercase for b in string.ascii_lowercase),
     "cue": ("account", "acct", "passport", "customer id", "member id", "licence no", "license no", "national id", "tax id", "ssn"),
 }
 
@@ -56,7 +57,7 @@ _PHONES = (
 _AFTER_TEL = re.compile(r"\+?[\d ().\-]{6,24}\d")
 _SSN = re.compile(r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?<![\w.\-])(?:\d{12,19}|\d{4}(?:([ \-])\d{4})(?:\1\d{4}){1,2}(?:\1\d{1,3})?)(?![\w\-]|\.\d)")
+_ACCOUNT = re.compile(r"(?<![\w.\-])(?:\d{12,19}|\d{4}(?:([ \-])\d{4})(?:\1\d{4}){1,2}(?:\1\d{1,3})?|\d{4}(?P<six>[ \-])\d{6}(?P=six)\d{4,5})(?![\w\-]|\.\d)")
 _AFTER_CUE = re.compile(r"(?i:\s?(?:number|no|nr|id|is|was)?[\s.:#=]{1,4}){1,3}(?P<v>[A-Za-z0-9](?:[A-Za-z0-9\-]{3,18})[A-Za-z0-9])(?![A-Za-z0-9\-])")
 
 
@@ -162,7 +163,7 @@ def _account(raw: str, at: int, n: int) -> tuple | None:
 
 
 def _iban(raw: str, at: int, n: int) -> tuple | None:
-    m = _IBAN.search(raw, at + n, at + n + 60)
+    m = _IBAN.match(raw, at)
     s = m[0] if m else ""
     while s and not iban_valid(s):  # groups that follow the account aren't part of it
         s = s.rpartition(" ")[0]

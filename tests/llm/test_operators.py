@@ -313,6 +313,25 @@ def test_pii(text, want):
         assert [(k, whole[a:b]) for k, a, b, _ in pii.scan(whole)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("to DE89370400440532013000.", ["iban DE89370400440532013000"]),
+        ("GB82WEST12345698765432", ["iban GB82WEST12345698765432"]),
+        ("pay DE89 3704 0044 0532 0130 00 now", ["iban DE89 3704 0044 0532 0130 00"]),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 or DE89370400440532013000", ["iban GB82 WEST 1234 5698 7654 32", "iban DE89370400440532013000"]),
+        ("account NO9386011117947, account DE89370400440532013000", ["iban NO9386011117947", "iban DE89370400440532013000"]),
+        ("REF AB12 GB82 WEST 1234 5698 7654 32", ["iban GB82 WEST 1234 5698 7654 32"]),
+        ("DE88370400440532013000 xDE89370400440532013000", []),
+        ("card 3782 822463 10005 or 3782-822463-10005", ["account 3782 822463 10005", "account 3782-822463-10005"]),
+    ],
+)
+def test_ibans_without_a_cue_and_other_groups(text, want):
+    for around in ("", "ü" * 1000 + " "):
+        whole = around + text
+        assert [f"{k} {whole[a:b]}" for k, a, b, valid in pii.scan(whole) if valid] == want
+
+
 def der(*parts):
     body = b"".join(parts)
     return b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body

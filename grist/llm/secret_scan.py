@@ -1,9 +1,10 @@
 """Secret scan (operator 10): candidates are decoded and their structure parsed before anything is reported.
 
-Candidates are runs of base64 or hex characters, PEM blocks, and what follows an assignment cue
+Candidates are runs of base64 characters, hex runs that begin as a key does, PEM blocks (also inside JSON, .env or source strings, where
+line ends and other characters are escaped and lines are strings of their own), and what follows an assignment cue
 ("token = ...", "password=..."). A candidate is reported only when a parser confirms it:
 
-  der_key         base64 (in PEM or bare) of an ASN.1 SEQUENCE whose nested lengths add up to the end and that holds an
+  der_key         base64 (in PEM or bare) or bare hex of an ASN.1 SEQUENCE whose nested lengths add up to the end and that holds an
                   INTEGER, an OID or an OCTET STRING, as PKCS#1, PKCS#8 and SEC1 keys do
   ssh_key         base64 of length-prefixed fields that use up all bytes, the first naming a key type, or of an OpenSSH
                   private-key container
@@ -35,14 +36,18 @@ from .common import column
 MASK = "[SECRET]"
 _CUE = r"(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd|credential|private[_-]?key|bearer)"
 _ASSIGNED = re.compile(rf"(?i:(?<![A-Za-z]){_CUE})[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?(?P<v>[A-Za-z0-9+/_=.-]{{12,}})")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30})PRIVATE KEY-----([A-Za-z0-9+/=\s:,-]{16,}?)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30})PRIVATE KEY-----([A-Za-z0-9+/=\s:,\\\"'-]{16,}?)-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA|AGPA|ANPA|ANVA)([A-Z2-7]{16})(?![A-Za-z0-9])", re.I)
 #: Structure shows in the first characters: MC.. to MI.. is an ASN.1 SEQUENCE, AAAA a length, b3BlbnNza a container's name.
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[C-I]|AAAA|b3BlbnNza)[A-Za-z0-9+/_-]{30,}={0,2}")
+_BARE = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[C-I]|AAAA|b3BlbnNza)[A-Za-z0-9+/_-]{30,}={0,2}")
+#: 30 and a length: a SEQUENCE of 24 bytes or more in hex.
+_HEX = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt])|(?<=\b0[xX]))30(?:1[6-9a-fA-F]|[2-7][0-9a-fA-F]|8[1-4])[0-9a-fA-F]{44,}(?![A-Za-z0-9])")
 #: A text that has none of these, in lower case, and no bare key has no candidates.
 _SIGNS = ("token", "passw", "pwd", "secret", "key", "credential", "bearer", "eyj", "akia", "asia", "aroa", "aida", "agpa", "anpa", "anva", "aaaa", "b3blbnnza")
 _DER = re.compile(r"M[C-I][A-Za-z0-9+/_-]{30}")
+_HEX_DER = re.compile(r"30[1-8][0-9a-fA-F]{45}")
+_ESCAPED = re.compile(r"\\+(?:u00([0-9a-fA-F]{2})|([nrt/])|(?=\s))")
 
 
 def decode_base64(s: str) -> bytes | None:
@@ -56,6 +61,12 @@ def decode_base64(s: str) -> bytes | None:
         return None
 
 
+def _unescaped(s: str) -> str:
+    """The body of a PEM block as it is outside of strings: escapes read, the ends of strings that follow each other dropped."""
+    s = _ESCAPED.sub(lambda m: chr(int(m[1], 16)) if m[1] else "/" if m[2] == "/" else "\n" if m[2] else "", s)
+    return re.sub(r"\\*[\"'][\s+,]*(?:\\*[\"'])?", "\n", s)
+
+
 def _der_items(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """(tag, from, to) of the elements that fill b[at:end] exactly, or None."""
     out = []
@@ -146,11 +157,11 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     low = text.lower()
-    if not any(x in low for x in _SIGNS) and not _DER.search(text):
+    if not any(x in low for x in _SIGNS) and not _DER.search(text) and not _HEX_DER.search(text):
         return []
     found: list[tuple[int, int, str]] = []
     for m in _PEM.finditer(text):
-        b = decode_base64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2]))
+        b = decode_base64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", _unescaped(m[2])))
         if b and (is_der_key(b) or is_ssh_key(b)):
             found.append((m.start(), m.end(), "der_key" if is_der_key(b) else "ssh_key"))
     for m in _JWT.finditer(text):
@@ -163,6 +174,9 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         b = decode_base64(m[0])
         if b and (is_der_key(b) or is_ssh_key(b)):
             found.append((m.start(), m.end(), "der_key" if is_der_key(b) else "ssh_key"))
+    for m in _HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
+            found.append((m.start(), m.end(), "der_key"))
     for m in _ASSIGNED.finditer(text):
         value = m["v"].rstrip(".-_")
         if kind := _assigned(value):

@@ -350,6 +350,23 @@ def test_secrets():
         assert secret_scan.scan(text) == []
 
 
+def test_secrets_inside_strings():
+    raw = der(b"\x02\x01\x00", b"\x02\x20" + bytes(range(1, 33)), b"\x04\x10" + bytes(range(16)))
+    key = base64.b64encode(raw).decode()
+    lines = [key[i : i + 16] for i in range(0, len(key), 16)]
+    block = ["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"]
+    plain = "\n".join(block) + "\n"
+    for text in (json.dumps({"private_key": plain, "x": 1}), json.dumps(json.dumps({"private_key": plain})), 'KEY="' + "\\r\\n".join(block) + '"', '"' + '\\n" +\n  "'.join(block) + '"', json.dumps(plain).replace("/", "\\/").replace("=", "\\u003d")):
+        assert [k for k, _, _ in secret_scan.scan(text)] == ["der_key"], text
+        assert not any(x in secret_scan.mask(text) for x in lines)
+    headed = block[:1] + ["Proc-Type: 4,X", ""] + block[1:]
+    assert [k for k, _, _ in secret_scan.scan("\\n".join(headed))] == ["der_key"]
+    for text in (raw.hex(), raw.hex().upper(), "0x" + raw.hex(), "a\\n" + raw.hex(), "a\\n" + key):
+        assert [k for k, _, _ in secret_scan.scan(f"see {text} there")] == ["der_key"], text
+    for text in (raw.hex()[:-2], "ab" + raw.hex(), "30" * 40):
+        assert secret_scan.scan(text) == []
+
+
 def test_findings_on_awkward_tables(spark):
     df = awkward(spark).union(spark.createDataFrame([row(20, f'token = "{SECRET}" a@mail.example.com'), row(20, f'token = "{SECRET}" a@mail.example.com'), row(None, "b@mail.example.com")], SCHEMA))
     assert Counter((r["doc_id"], r["kind"]) for r in pii.find(df).collect()) == {(20, "email"): 2, (None, "email"): 1}

@@ -41,6 +41,8 @@ _BLOCK = frozenset(
 _ENDS = {name: (frozenset({"p"}), frozenset({"button", "td", "th", "table"})) for name in _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}}
 _ENDS |= {"li": (frozenset({"li", "p"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd", "p"}), frozenset({"dl"}))}
 _ENDS |= {"td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"}))}
+#: What an open head holds; any other start tag, and text, ends it (</head> may be omitted).
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^<\"]*\"|'[^<']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 
@@ -64,11 +66,20 @@ def parse(page: str) -> Element:
             open_names[e.name] -= 1
         del stack[k:]
 
+    def end_head() -> None:
+        k = len(stack) - 1
+        while stack[k].name != "head":
+            k -= 1
+        if not any(e.name == "template" for e in stack[k:]):
+            close(k)
+
     while at < n:
         i = page.find("<", at)
         if i < 0:
             i = n
         if i > at:
+            if stack[-1].name == "head" and not page[at:i].isspace():
+                end_head()
             stack[-1].children.append(page[at:i])
             at = i
             if at >= n:
@@ -95,6 +106,8 @@ def parse(page: str) -> Element:
                     k -= 1
                 close(k)
             continue
+        if open_names.get("head") and name not in _HEAD:
+            end_head()
         if rule := _ENDS.get(name):
             ends, fences = rule
             if any(open_names.get(x) for x in ends):

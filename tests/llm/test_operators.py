@@ -80,6 +80,23 @@ def test_html_template(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><body><p>text", "text"),
+        ("<head><title>t</title><meta charset=x><link rel=y><p>text<p>more", "text\nmore"),
+        ("<html><head><title>t</title><div>text</div>", "text"),
+        ("<head><title>t</title> text", "text"),
+        ("<head><title>t</title><noscript><style>x</style></noscript><script>1<2</script></head><body>text", "text"),
+        ("<head><template><p>no</p></template><title>t</title><body>text", "text"),
+        ("<head><title>t<body><p>text", "text"),
+    ],
+)
+def test_html_pages_without_an_end_of_head(page, want):
+    assert html_extract.extract(page, set()) == (want, 0)
+    assert html_extract.candidates(page + "<nav>menu</nav><p>own text of the page")
+
+
 def test_html_counts_against_brute_force(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = [tuple(r) for r in pages.select("page_id", html_extract.host_of(pages["url"]), "html").collect()]

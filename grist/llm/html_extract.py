@@ -2,14 +2,15 @@
 
 1. Each page is parsed (a tokenizer of its own, linear in the page, with HTML's void elements, raw text and implied end tags),
    and each element gets a Merkle hash of its name, attributes, text and children.
-2. Spark counts, for each host and hash, the pages that hold it; partial counts are made before the shuffle, and a hot host is
-   spread over its hashes.
-3. A subtree that recurs on at least max(MIN_PAGES, SHARE x the host's pages) pages of a host is template. From each page the
+2. Spark counts, for each host and hash, the pages that hold it, pages whose other text agrees as well as one; partial counts are
+   made before the shuffle, and a hot host is spread over its hashes.
+3. A subtree that recurs on MIN_PAGES pages of a host is template; on a host of more than MIN_PAGES / SHARE pages, the number grows with the
+   logarithm of the host's pages (5 up to 500 pages, 32 at 100000). From each page the
    outermost template subtrees are deleted, and the text of the rest is extracted: entities decoded, white space
    collapsed, a line for each block.
 
-An element with more than MOST of its page's text is content and never template, so copies of a page don't delete each
-other. Script, style, head and comments give no text. Pages are counted by row: rows that agree in all columns are one page.
+Elements count however much of their page's text they hold. What copies of a page have in common is not template, as the rest of these pages
+agrees too. Script, style, head and comments give no text. Pages are counted by row: rows that agree in all columns are one page.
 
 Defined results: null html gives null text, empty html empty text; pages with null or unreadable url share the host ''. Null ids stay null; each row
 gives a row, equal rows too; broken markup is read as far as it can be, a "<" that opens nothing is text; an empty table gives none; other columns are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, column, materialise, row_key
 
-MIN_PAGES, SHARE, MOST = 5, 0.01, 0.5
+MIN_PAGES, SHARE = 5, 0.01
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("head script style noscript template title textarea svg math iframe object select".split())
@@ -48,10 +49,10 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 class Element:
-    __slots__ = ("attributes", "children", "hash", "name", "size")
+    __slots__ = ("attributes", "children", "hash", "name", "size", "sum")
 
     def __init__(self, name: str, attributes: str):
-        self.name, self.attributes, self.children, self.hash, self.size = name, attributes, [], 0, 0
+        self.name, self.attributes, self.children, self.hash, self.size, self.sum = name, attributes, [], 0, 0, 0
 
 
 def parse(page: str) -> Element:
@@ -146,34 +147,36 @@ def _order(root: Element) -> list[Element]:
 
 
 def hashed(page: str) -> tuple[Element, list[Element]]:
-    """The tree, with each element's hash and the size of its visible text; its elements in document order."""
+    """The tree, with each element's hash, the size of its visible text and the sum of the hashes of its pieces; its elements in document order."""
     root = parse(page)
     order = _order(root)
     for e in reversed(order):
         parts = [e.name]
         if e.attributes:
             parts += sorted(f"{k.lower()}={a or b or c}" for k, a, b, c in _ATTRIBUTE.findall(e.attributes))
-        size = 0
+        size = total = 0
         for c in e.children:
             if isinstance(c, str):
                 text = " ".join(c.split())
                 if text:
                     parts.append("t" + text)
                     size += len(text)
+                    total += xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
             else:
                 parts.append("e%x" % c.hash)
                 size += c.size
-        e.size = 0 if e.name in _SILENT else size
+                total += c.sum
+        e.size, e.sum = (0, 0) if e.name in _SILENT else (size, total)
         e.hash = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
     return root, order
 
 
-def candidates(page: str | None) -> set[int]:
-    """The hashes of the subtrees of a page that may be template."""
+def candidates(page: str | None) -> dict[int, int]:
+    """The hashes of the subtrees of a page that may be template, those with text, each with a hash of the page's other text."""
     if not page:
-        return set()
+        return {}
     root, order = hashed(page)
-    return {e.hash for e in order[1:] if 0 < e.size <= MOST * root.size}
+    return {e.hash: ((root.sum - e.sum) & ((1 << 64) - 1)) - (1 << 63) for e in order[1:] if e.size > 0}
 
 
 def extract(page: str | None, template: frozenset[int] | set[int]) -> tuple[str | None, int]:
@@ -190,7 +193,7 @@ def extract(page: str | None, template: frozenset[int] | set[int]) -> tuple[str
             continue
         if x.name in _SILENT:
             continue
-        if x.hash in template and x is not root and 0 < x.size <= MOST * root.size:
+        if x.hash in template and x is not root and x.size > 0:
             removed += 1
             out.append("\n" if x.name in _BLOCK else " ")
             continue
@@ -219,14 +222,17 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = S
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(candidates(h.as_py())) for h in column(batch, "html")]
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "host"), pa.array(found, pa.list_(pa.int64()))], ["rid", "host", "hashes"])
+            found = [candidates(h.as_py()) for h in column(batch, "html")]
+            lists = [pa.array([list(x) for x in part], pa.list_(pa.int64())) for part in (found, [x.values() for x in found])]
+            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "host"), *lists], ["rid", "host", "hashes", "rests"])
 
-    seen = materialise(own.filter("html IS NOT NULL").mapInArrow(count, "rid bigint, host string, hashes array<bigint>").dropDuplicates(["rid"]))
+    seen = materialise(own.filter("html IS NOT NULL").mapInArrow(count, "rid bigint, host string, hashes array<bigint>, rests array<bigint>").dropDuplicates(["rid"]))
     each = seen.select("rid", "host", F.explode("hashes").alias("hash"))
     sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    template = materialise(often.join(sizes, "host").filter(F.col("n") >= F.col("pages") * share).select("host", "hash"))
+    met = seen.select("host", F.explode(F.arrays_zip("hashes", "rests")).alias("x")).select("host", F.col("x.hashes").alias("hash"), F.col("x.rests").alias("rest")).distinct()
+    often = met.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    needed = min_pages * (1 + F.log(F.greatest(F.lit(1.0), F.col("pages") * share / max(min_pages, 1))))
+    template = materialise(often.join(sizes, "host").filter(F.col("n") >= needed).select("host", "hash"))
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, frozenset()

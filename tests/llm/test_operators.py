@@ -106,6 +106,18 @@ def test_html_counts_against_brute_force(spark):
     assert got == want
 
 
+def test_html_large_templates_copies_and_large_hosts(spark):
+    foot, article = f"<footer>{'legal words ' * 50}</footer>", "".join(f"<p>Paragraph {k} of the article" for k in range(9))
+    rows = [(i, "http://stub.example/", f"<body><p>{WORDS[i]} {'own ' * 90}</p>{foot}") for i in range(8)]
+    rows += [(100 + i, "http://copy.example/", f"<body><div>{article}</div>") for i in range(8)]  # copies of a page under other ids
+    rows += [(1000 + i, "http://big.example/", f"<body>{'<ul><li>Section menu</ul>' if i < 20 else ''}<p>Text {i}") for i in range(2500)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    assert all(out[i] == f"{WORDS[i]} {'own ' * 90}".strip() for i in range(8))
+    assert all(out[100 + i] == "\n".join(f"Paragraph {k} of the article" for k in range(9)) for i in range(8))
+    assert all(out[1000 + i] == f"Text {i}" for i in range(2500))
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
 

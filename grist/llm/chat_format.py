@@ -13,7 +13,11 @@ turn (Kahn's algorithm, the least turn first). Arguments are validated against t
 keys sorted, no white space, no escapes but those that JSON demands, whole numbers without fraction.
 
 Rows of the result: (conv_id, chat, messages, calls, linked, problems). problems, in order, are
-  no_result:ID, no_call:ID, duplicate_call:ID, duplicate_result:ID, unknown_tool:ID, invalid_arguments:ID:PATH, cycle:ID
+  no_result:ID, no_call:ID, duplicate_call:ID, duplicate_result:ID, unknown_tool:ID, invalid_arguments:ID:PATH, unchecked_keyword:ID:KEYWORD, cycle:ID
+
+Schemas are checked by the keywords of JSON Schema 2020-12 and the older forms of items, dependencies and definitions, $ref within the schema.
+A keyword that can't be checked (a $ref that leads nowhere or elsewhere, $dynamicRef, unevaluated..., a format without a check here, a value of the wrong
+kind, an unknown keyword) is reported as unchecked_keyword; annotations and keywords that begin with x- are passed over.
 
 Defined results: rows that agree in conv_id, turn, role and text are one message. Rows with null conv_id form one conversation without id. Null turns
 come first; rows of equal turn are ordered by role, then text; a null role or text is JSON null, an empty text "". Text that isn't
@@ -24,11 +28,15 @@ turn. An empty table gives none; other columns are passed over.
 from __future__ import annotations
 
 import heapq
+import ipaddress
 import json
 import math
 import re
 from collections.abc import Iterator, Mapping
+from datetime import date
+from fractions import Fraction
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -74,51 +82,192 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, _TYPES.get(kind, object))
 
 
-def violations(value: Any, schema: Any, path: str = "$") -> list[str]:
-    """Where value breaks the schema: type, enum, const, properties, required, additionalProperties, items, lengths, bounds, pattern, anyOf, allOf."""
+#: These say nothing about values, or are read with another keyword.
+_SILENT = frozenset(
+    "$schema $id $anchor $comment $defs $vocabulary definitions title description default example examples deprecated readOnly writeOnly contentEncoding contentMediaType contentSchema then else minContains maxContains additionalItems".split()
+)
+_TIME = r"([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)"
+
+
+def _date(s: str) -> bool:
+    return bool(re.fullmatch(r"\d{4}-\d\d-\d\d", s, re.A)) and bool(date.fromisoformat(s))
+
+
+def _regex(s: str) -> bool:
+    return bool(re.compile(s))
+
+
+#: A check raises ValueError or re.error, or gives False, where a string hasn't the format.
+_FORMATS = {
+    "date": _date,
+    "time": lambda s: bool(re.fullmatch(_TIME, s, re.I | re.A)),
+    "date-time": lambda s: bool(re.fullmatch(r".{10}T" + _TIME, s, re.I | re.A)) and _date(s[:10]),
+    "email": lambda s: bool(re.fullmatch(r"[^\s@]+@[^\s@]+", s)),
+    "ipv4": lambda s: bool(ipaddress.IPv4Address(s)) or True,
+    "ipv6": lambda s: "%" not in s and (bool(ipaddress.IPv6Address(s)) or True),
+    "uri": lambda s: bool(re.fullmatch(r"[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>\"{}|\\^`]*", s)),
+    "uuid": lambda s: bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s)),
+    "regex": _regex,
+}
+
+
+def _resolve(ref: Any, root: Any) -> Any:
+    """What a $ref within root stands for; LookupError or ValueError if it is elsewhere or nowhere."""
+    if not isinstance(ref, str) or not ref.startswith("#"):
+        raise LookupError(ref)
+    if len(ref) > 1 and ref[1] != "/":
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, dict) and x.get("$anchor") == ref[1:]:
+                return x
+            todo += x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+        raise LookupError(ref)
+    at = root
+    for part in ref[2:].split("/") if len(ref) > 1 else ():
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        at = at[int(part)] if isinstance(at, list) else at[part]
+    if not isinstance(at, (dict, bool)):
+        raise LookupError(ref)
+    return at
+
+
+def violations(value: Any, schema: Any, path: str = "$", root: Any = None, unchecked: set[str] | None = None, refs: tuple[str, ...] = ()) -> list[str]:
+    """Where value breaks the schema; the keywords that can't be checked are added to unchecked.
+
+    root is the whole schema, refs what led to this schema at this same value.
+    """
+    root, unchecked = schema if root is None else root, set() if unchecked is None else unchecked
     if not isinstance(schema, dict):
+        if not isinstance(schema, bool) and schema is not None:
+            unchecked.add("schema")
         return [] if schema is not False else [path]
     if isinstance(value, dict) and set(value) == {"$result"}:
         return []  # its value is known only when the call is made
-    kinds = schema.get("type")
-    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [path]
-    out = []
-    if ("enum" in schema and value not in schema["enum"]) or ("const" in schema and value != schema["const"]):
-        out.append(path)
+    out: list[str] = []
+    for keyword in schema:
+        if keyword in _SILENT or keyword.startswith("x-"):
+            continue
+        try:
+            out += _broken(value, schema, keyword, path, root, unchecked, refs)
+        except (TypeError, AttributeError, ValueError, LookupError, ArithmeticError, RecursionError, re.error):
+            unchecked.add(keyword)
+        if keyword == "type" and out:
+            return [path]
+    return list(dict.fromkeys(out))
+
+
+def _broken(value: Any, schema: dict, keyword: str, path: str, root: Any, unchecked: set[str], refs: tuple[str, ...]) -> list[str]:
+    """Where value breaks one keyword of schema."""
+    x = schema[keyword]
+    open_ = next(_references(value), None) is not None  # holds the result of a call, so that only part of it is known
+    here = lambda bad: [path] if bad else []
+    same = lambda s: violations(value, s, path, root, unchecked, refs)
+    fits = lambda v, s: not violations(v, s, path, root, unchecked)
+    part = lambda k, s: violations(value[k], s, f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]", root, unchecked)
+    match keyword:
+        case "type":
+            kinds = [x] if isinstance(x, str) else x
+            if not all(k in _TYPES or k in ("integer", "number") for k in kinds):
+                raise ValueError(x)
+            return here(not any(_is(value, k) for k in kinds))
+        case "enum":
+            return here(not open_ and canonical(value) not in {canonical(v) for v in x})
+        case "const":
+            return here(not open_ and canonical(value) != canonical(x))
+        case "$ref":
+            if x in refs:
+                raise LookupError(x)  # it leads to itself
+            return violations(value, _resolve(x, root), path, root, unchecked, (*refs, x))
+        case "allOf":
+            return [p for s in x for p in same(s)]
+        case "anyOf":
+            return here(all([same(s) for s in x]))
+        case "oneOf":
+            n = sum(not same(s) for s in x)
+            return here(n == 0 or (n > 1 and not open_))
+        case "not":
+            return here(not same(x) and not open_)
+        case "if":
+            broken = same(x)
+            if open_ and not broken:
+                return []
+            return same(schema.get("else" if broken else "then", True))
     if isinstance(value, dict):
-        known = schema.get("properties") or {}
-        out += [f"{path}.{k}" for k in schema.get("required") or [] if k not in value]
-        more = schema.get("additionalProperties", True)
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{path}.{k}")
-            else:
-                out += violations(value[k], more, f"{path}.{k}")
+        match keyword:
+            case "required":
+                return [f"{path}.{k}" for k in x if k not in value]
+            case "properties":
+                return [p for k in sorted(value) if k in x for p in part(k, x[k])]
+            case "patternProperties":
+                return [p for k in sorted(value) for name, s in x.items() if re.search(name, k) for p in part(k, s)]
+            case "additionalProperties":
+                known, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
+                return [p for k in sorted(value) if k not in known and not any(re.search(name, k) for name in patterns) for p in part(k, x)]
+            case "propertyNames":
+                return [f"{path}.{k}" for k in sorted(value) if not fits(k, x)]
+            case "minProperties":
+                return here(len(value) < x)
+            case "maxProperties":
+                return here(len(value) > x)
+            case "dependentRequired" | "dependentSchemas" | "dependencies":
+                out = []
+                for k in sorted(set(x) & set(value)):
+                    out += [f"{path}.{n}" for n in x[k] if n not in value] if isinstance(x[k], list) else same(x[k])
+                return out
     if isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf):
-            out.append(path)
-        for i, v in enumerate(value):
-            out += violations(v, schema.get("items", True), f"{path}[{i}]")
+        match keyword:
+            case "minItems":
+                return here(len(value) < x)
+            case "maxItems":
+                return here(len(value) > x)
+            case "uniqueItems":
+                return here(x and len({canonical(v) for v in value}) < len(value))
+            case "prefixItems":
+                return [p for i, s in enumerate(x[: len(value)]) for p in part(i, s)]
+            case "items":
+                if isinstance(x, list):  # the older form of prefixItems
+                    every = [*x, *[schema.get("additionalItems", True)] * (len(value) - len(x))]
+                    return [p for i in range(len(value)) for p in part(i, every[i])]
+                return [p for i in range(len(schema.get("prefixItems") or ()), len(value)) for p in part(i, x)]
+            case "contains":
+                n = sum(fits(v, x) for v in value)
+                return here(n < schema.get("minContains", 1) or (n > schema.get("maxContains", math.inf) and not open_))
     if isinstance(value, str):
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
-            out.append(path)
-        if isinstance(p := schema.get("pattern"), str):
-            try:
-                if not re.search(p, value):
-                    out.append(path)
-            except re.error:
-                out.append(path)
+        match keyword:
+            case "minLength":
+                return here(len(value) < x)
+            case "maxLength":
+                return here(len(value) > x)
+            case "pattern":
+                return here(not re.search(x, value))
+            case "format":
+                check = _FORMATS[x]
+                try:
+                    return here(not check(value))
+                except (ValueError, re.error):
+                    return [path]
     if _is(value, "number"):
-        if not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
-            out.append(path)
-        if value <= schema.get("exclusiveMinimum", -math.inf) or value >= schema.get("exclusiveMaximum", math.inf):
-            out.append(path)
-    if (options := schema.get("anyOf")) and all(violations(value, s, path) for s in options):
-        out.append(path)
-    for s in schema.get("allOf") or []:
-        out += violations(value, s, path)
-    return list(dict.fromkeys(out))
+        match keyword:
+            case "minimum":
+                return here(value < x)
+            case "maximum":
+                return here(value > x)
+            case "exclusiveMinimum":
+                return here(value <= x)
+            case "exclusiveMaximum":
+                return here(value >= x)
+            case "multipleOf":
+                return here(Fraction(str(value)) % Fraction(str(x)) != 0)
+    if keyword not in _KNOWN:
+        raise LookupError(keyword)
+    return []
+
+
+#: Those that are for values of one kind only.
+_KNOWN = frozenset(
+    "required properties patternProperties additionalProperties propertyNames minProperties maxProperties dependentRequired dependentSchemas dependencies minItems maxItems uniqueItems prefixItems items contains minLength maxLength pattern format minimum maximum exclusiveMinimum exclusiveMaximum multipleOf".split()
+)
 
 
 def _references(x: Any) -> Iterator[str]:
@@ -211,7 +360,9 @@ def assemble(messages: list[dict], schemas: Mapping[str, Any] | None = None) ->
             if name not in known:
                 problems.append(f"unknown_tool:{ident}")
             else:
-                problems += [f"invalid_arguments:{ident}:{p}" for p in violations(args, known[name])]
+                unchecked: set[str] = set()
+                problems += [f"invalid_arguments:{ident}:{p}" for p in violations(args, known[name], unchecked=unchecked)]
+                problems += [f"unchecked_keyword:{ident}:{k}" for k in sorted(unchecked)]
         elif m["kind"] == "result":
             out.append({"type": "result", "id": m["id"], "content": json.loads(m["content"])})
             if not m["linked"]:

@@ -320,6 +320,49 @@ def test_chats(spark):
     assert all(chat_format.canonical(json.loads(r["chat"])) == r["chat"] for r in every)  # canonical: a fixed point
 
 
+NESTED = {"type": "object", "properties": {"to": {"$ref": "#/$defs/Person"}}, "$defs": {"Person": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "boss": {"$ref": "#/$defs/Person"}}}}}
+
+
+@pytest.mark.parametrize(
+    "schema, good, bad, where",
+    [
+        (NESTED, {"to": {"name": "a", "boss": {"name": "b"}}}, {"to": {"name": "a", "boss": {"name": 1}}}, "$.to.boss.name"),
+        ({"$ref": "#/definitions/a~1b", "definitions": {"a/b": {"type": "integer"}}}, 1, "x", "$"),
+        ({"properties": {"x": {"$ref": "#here"}}, "$defs": {"y": {"$anchor": "here", "type": "null"}}}, {"x": None}, {"x": 0}, "$.x"),
+        ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, 3, 7, "$"),
+        ({"not": {"type": "string"}}, 1, "x", "$"),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, {"a": 1, "b": 1}, {"a": 1}, "$.b"),
+        ({"multipleOf": 0.1}, 0.3, 0.35, "$"),
+        ({"uniqueItems": True}, [1, True, "1"], [1, 1.0], "$"),
+        ({"patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": False}, {"n_a": 1}, {"n_a": "x"}, "$.n_a"),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, ["a", 1], ["a", "b"], "$[1]"),
+        ({"items": [{"type": "string"}], "additionalItems": False}, ["a"], ["a", 1], "$[1]"),
+        ({"minProperties": 1, "maxProperties": 2}, {"a": 1}, {}, "$"),
+        ({"propertyNames": {"maxLength": 2}}, {"ab": 1}, {"abc": 1}, "$.abc"),
+        ({"dependentRequired": {"a": ["b"]}}, {"b": 1}, {"a": 1}, "$.b"),
+        ({"contains": {"type": "null"}, "maxContains": 1}, [None, 1], [None, None], "$"),
+        ({"format": "date-time"}, "2024-05-06T07:08:09Z", "2024-05-36T07:08:09Z", "$"),
+        ({"enum": [1]}, 1.0, True, "$"),
+    ],
+)
+def test_schema_keywords(schema, good, bad, where):
+    unchecked = set()
+    assert chat_format.violations(good, schema, unchecked=unchecked) == [] and chat_format.violations(bad, schema, unchecked=unchecked) == [where] and not unchecked
+
+
+def test_keywords_that_cannot_be_checked_are_reported():
+    loop = {"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}}
+    for schema, keyword in (({"$ref": "http://x.example/y"}, "$ref"), ({"$ref": "#/$defs/none"}, "$ref"), (loop, "$ref"), ({"unevaluatedProperties": False}, "unevaluatedProperties"), ({"pattern": "("}, "pattern"), ({"required": True}, "required"), ({"format": "odd"}, "format")):
+        unchecked = set()
+        for value in ("a", {"a": 1}):
+            chat_format.violations(value, schema, unchecked=unchecked)
+        assert unchecked == {keyword}
+    call = {"kind": "call", "id": "i", "repeat": False, "linked": True, "parent": 0, "content": '{"arguments":{"to":{}},"name":"f"}'}
+    turn = {"kind": "message", "id": None, "role": "a", "content": None, "repeat": False, "linked": False}
+    assert chat_format.assemble([dict(turn), dict(call)], {"f": NESTED | {"odd": 1}})[4] == ["invalid_arguments:i:$.to.name", "unchecked_keyword:i:odd"]
+    assert chat_format.violations({"a": {"$result": "y"}}, {"not": {"properties": {"a": {"type": "string"}}}}) == []
+
+
 # --- 9 and 10 ----------------------------------------------------------------------------------------------------
 
 

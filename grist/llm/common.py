@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -42,20 +45,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="grist-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: The folders that materialise() wrote inside the innermost scratch().
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder; what is written there is deleted when the driver ends, if not before."""
+    at = f"{shared_dir(spark)}/grist-{uuid.uuid4().hex}"
+    fs, path = _path(spark, at)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/grist-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = new_folder(spark)
+    df.write.mode("overwrite").parquet(at)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._grist_folder = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing to come reads."""
+    for df in tables:
+        fs, path = _path(df.sparkSession, df._grist_folder)
+        fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all that was materialised inside; for work whose result has been written elsewhere by then."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        for at in _WRITTEN.get() or ():
+            fs, path = _path(spark, at)
+            fs.delete(path, True)
+        _WRITTEN.reset(token)
 
 
 def small_or_not(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -63,12 +110,18 @@ def small_or_not(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def _parts(columns: tuple[Column, ...]) -> list[Column]:
+    return [x for c in columns for x in (c.isNull(), c)]
+
+
 def row_key(*columns: Column) -> Column:
-    """64 bits that stand for a row; rows that agree in all these columns share the key."""
-    parts: list[Column] = []
-    for c in columns:
-        parts += [c.isNull(), c]
-    return F.xxhash64(*parts)
+    """64 bits of a row, to spread rows by; rows that agree in all these columns share the key, and others may."""
+    return F.xxhash64(*_parts(columns))
+
+
+def row_keys(*columns: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a row, as two columns; rows that agree in all these columns share them."""
+    return F.xxhash64(*_parts(columns)), F.xxhash64(F.lit(0x51ED2701), *_parts(columns))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,12 +2,15 @@
 
 Each of several tables quantises ROWS Gaussian projections of the unit vector, floor((a.x + b) / WIDTH) (Datar et al. 2004); vectors that
 agree in all of a table's numbers meet there. On unit vectors the Euclidean distance is sqrt(2 - 2 cos), so the number of tables
-follows from the recall that is wanted at the cosine threshold. Vectors that meet are verified by exact cosines in double
+follows from the recall that is wanted at the cosine threshold. All pairs of vectors that meet are verified by exact cosines in double
 precision, each vector shipped once to its group (meeting.py).
 
-Defined results: null, empty and zero vectors, and such with a null, NaN or infinite element, are in no pair; vectors of different dimension
-never meet. Equal vectors share one entry and are pairs of each other with their cosine of 1. Rows with the same vec_id and vector are one; rows without vec_id are in
-no pair. An empty table gives none; other columns are passed over, or passed through by drop_near().
+The result has a row for each vector that has an equal or a similar one: its class, which is all that equal and similar pairs connect, named by its
+least vec_id, and the number of links, other different vectors with a cosine at or above the threshold.
+
+Defined results: null, empty and zero vectors, and such with a null, NaN or infinite element, take part in nothing; vectors of different dimension
+never meet. Rows of equal vectors are copies of each other, with the same vec_id or not. Rows without vec_id are like others; a class without any
+vec_id is named null. An empty table gives none; other columns are passed over, or passed through by drop_near().
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, mix, seeds, small_or_not
-from .meeting import components, tasks, verified
+from .common import column, mix, row_keys, seeds
+from .meeting import SHIPPED, TASK, class_rows, classes, placed, surplus, tasks, verified, without
 
 THRESHOLD, RECALL, WIDTH, ROWS, SEED = 0.95, 0.95, 2.0, 20, 3
 
@@ -50,74 +53,76 @@ def bucket_keys(unit: np.ndarray, tables: int, rows: int, width: float, seed: in
     return mix((mix(cells + np.uint64(1)) * salt[tables:]).sum(axis=2, dtype=np.uint64) + salt[:tables]).view(np.int64)
 
 
-def _vectors(vectors: DataFrame) -> DataFrame:
-    """(ids, rep, load, dim): the usable vectors in double precision, equal ones once; rep is their least vec_id."""
-    own = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id IS NOT NULL AND size(v) > 0")
+def _usable(vectors: DataFrame) -> DataFrame:
+    """(id, r1, r2, f1, f2, v): the usable vectors in double precision; f1 and f2 stand for the vector, r1 and r2 for it and its id."""
+    own = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("size(v) > 0")
     own = own.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter(F.exists("v", lambda x: x != 0))
-    each = own.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    return materialise(each.withColumn("rep", F.xxhash64("v", F.size("v"))))
-
-
-def _unit(values: list) -> np.ndarray:
-    x = np.array(values, np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _pairs(each: DataFrame, threshold: float, recall: float, width: float, rows: int) -> DataFrame:
+    (r1, r2), (f1, f2) = row_keys(F.col("id"), F.size("v"), F.col("v")), row_keys(F.size("v"), F.col("v"))
+    return own.select("id", r1.alias("r1"), r2.alias("r2"), f1.alias("f1"), f2.alias("f2"), "v")
+
+
+def _unit(values: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of each dimension."""
+    flat, lengths = values.flatten().to_numpy(zero_copy_only=False), values.value_lengths().to_numpy()
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    out = []
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        x = flat[starts[at][:, None] + np.arange(d)]
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        out.append((at, x / np.linalg.norm(x, axis=1, keepdims=True)))
+    return out
+
+
+def alike(loads: list[bytes], parts: np.ndarray, labels: np.ndarray, forest: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The allowed pairs of unit vectors whose cosine is at or above the threshold."""
+    a, b = [], []
+    size = np.array([len(x) for x in loads])
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        x = np.frombuffer(b"".join(loads[i] for i in at), np.float64).reshape(len(at), -1)
+        for lo in range(0, len(at), 512):
+            i, j = np.nonzero(x[lo : lo + 512] @ x[lo:].T >= threshold)
+            i, j = at[i + lo], at[j + lo]
+            ok = (i < j) & (labels[i] != labels[j]) & ((parts[i] < 0) | (parts[i] != parts[j]))
+            a.append(i[ok])
+            b.append(j[ok])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _classes(vectors: DataFrame, threshold: float, recall: float, width: float, rows: int, forest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     tables = choose_tables(threshold, recall, width, rows)
+    own = _usable(vectors)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, vs = np.array(column(batch, "rep").to_pylist(), np.int64), column(batch, "v").to_pylist()
-            by: dict[int, list[int]] = {}
-            for i, v in enumerate(vs):
-                by.setdefault(len(v), []).append(i)
-            for at in by.values():
-                keys = bucket_keys(_unit([vs[i] for i in at]), tables, rows, width)
+            for at, unit in _unit(column(batch, "v")):
+                keys = bucket_keys(unit, tables, rows, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(reps[at]), lists], ["rep", "bands"])
+                part = batch.take(pa.array(at))
+                names = ["id", "r1", "r2", "f1", "f2"]
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in names), pa.array(np.full(len(at), 8 * unit.shape[1])), lists], [*names, "size", "bands"])
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            loads = pa.array([_unit([v])[0].tobytes() for v in column(batch, "v").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "key"), column(batch, "side"), loads], ["rid", "key", "side", "load"])
-
-    def verify(rids: np.ndarray, sides: np.ndarray, loads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = []
-        size = np.array([len(x) for x in loads])
-        for d in np.unique(size):
-            at = np.flatnonzero(size == d)
-            x = np.frombuffer(b"".join(loads[i] for i in at), np.float64).reshape(len(at), -1)
-            for lo in range(0, len(at), 512):
-                c = x[lo : lo + 512] @ x.T
-                i, j = np.nonzero(c >= threshold)
-                ok = (i + lo < j) & ((sides[at[i + lo]] < 0) | (sides[at[i + lo]] != sides[at[j]]))
-                i, j = i[ok], j[ok]
-                out.append((rids[at[i + lo]], rids[at[j]], np.minimum(c[i, j], 1.0)))
-        a, b, c = zip(*out)
-        return np.concatenate(a), np.concatenate(b), np.concatenate(c)
-
-    needed = tasks(each.mapInArrow(hashed, "rep bigint, bands array<bigint>"))
-    loads = each.select(F.col("rep").alias("rid"), "v").join(small_or_not(needed, 24), "rid").select("rid", "key", "side", "v")
-    return verified(loads.mapInArrow(ship, "rid bigint, key bigint, side int, load binary"), verify)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH, rows: int = ROWS) -> DataFrame:
-    """(vec_a, vec_b, cosine), vec_a < vec_b, cosine to four places; every pair at or above the threshold with at least this recall."""
-    each = _vectors(vectors)
-    found = materialise(_pairs(each, threshold, recall, width, rows).dropDuplicates(["a", "b"]))
-    a, b = (each.select(F.col("rep").alias(s), F.explode("ids").alias(f"vec_{s}")) for s in "ab")
-    near = found.join(a, "a").join(b, "b").select("vec_a", "vec_b", F.round("similarity", 4).alias("cosine"))
-    equal = each.filter("size(ids) > 1").select(F.explode("ids").alias("vec_a"), "ids").select("vec_a", F.explode("ids").alias("vec_b"), F.lit(1.0).alias("cosine"))
-    both = near.unionByName(equal).filter("vec_a <> vec_b")
-    return both.select(F.least("vec_a", "vec_b").alias("vec_a"), F.greatest("vec_a", "vec_b").alias("vec_b"), "cosine").groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+            for at, unit in _unit(column(batch, "v")):
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in SHIPPED), pa.array([x.tobytes() for x in unit], pa.binary())], [*SHIPPED, "load"])
+
+    def matches(items: DataFrame) -> DataFrame:
+        needed = placed(tasks(items.select("rep", "size", "bands")), items)
+        shipped = own.join(needed, ["r1", "r2"]).select(*SHIPPED, "v").mapInArrow(ship, f"{TASK}, load binary")
+        return verified(shipped, lambda loads, parts, labels, forest: alike(loads, parts, labels, forest, threshold), forest)
+
+    return classes(own.mapInArrow(hashed, "id bigint, r1 bigint, r2 bigint, f1 bigint, f2 bigint, size bigint, bands array<bigint>"), matches)
+
+
+def similar_classes(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH, rows: int = ROWS) -> DataFrame:
+    """(vec_id, class_id, links) of each vector that has an equal or a similar one; every pair at or above the threshold is found with at least this recall."""
+    return class_rows(*_classes(vectors, threshold, recall, width, rows, False)).withColumnRenamed("id", "vec_id")
 
 
 def drop_near(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: float = WIDTH, rows: int = ROWS) -> DataFrame:
-    """vectors without all but the least vec_id of each group that similar pairs connect; all rows of a vec_id go or stay, rows that are in no pair stay."""
-    pairs = similar_pairs(vectors, threshold, recall, width, rows)
-    roots = components(pairs.select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b")))
-    gone = materialise(roots.filter("rep <> root").select(F.col("rep").alias("__id")))
-    kept = vectors.select(F.struct("*").alias("__row"), F.col("vec_id").cast("bigint").alias("__id"))
-    return kept.join(small_or_not(gone, 8), "__id", "left_anti").select("__row.*")
+    """vectors without all but one of each class: the least vec_id stays, one of none only if there is no other. Rows that aren't usable stay."""
+    keys = row_keys(vectors["vec_id"].cast("bigint"), F.size(vectors["embedding"].cast("array<double>")), vectors["embedding"].cast("array<double>"))
+    return without(vectors, keys, *surplus(*_classes(vectors, threshold, recall, width, rows, True)))

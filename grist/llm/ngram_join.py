@@ -1,18 +1,20 @@
 """N-gram Jaccard join (operator 6): MinHash banding, then full n-gram sets.
 
-1. Documents with the same words in the same order form one *text*; the least (doc_id, key) among them stands for it.
-2. Each text's MinHash signature is cut into bands; how many bands of how many rows follows from the recall
-   that is wanted at the threshold. A shuffle on the bands' hashes brings texts together.
-3. Texts that meet are verified in groups (meeting.py): each ships its full n-gram set there once, so that groups of
-   thousands of copies move in proportion to their size, not to their pairs. Pairs that are in no group together are
-   dropped first if their signatures already rule the threshold out, by more than four standard deviations.
+1. Documents with the same words in the same order form one *text*; its MinHash signature is cut into bands; how many bands
+   of how many rows follows from the recall that is wanted at the threshold. A shuffle on the bands' hashes brings texts together.
+2. Every pair of texts that shares a band is verified, in groups (meeting.py): each ships its full n-gram set there, so that groups of
+   thousands of near copies move in proportion to their size, not to their pairs.
 
 Verification compares full sets of 64-bit n-gram hashes, so precision is exact; recall at the threshold is at
 least RECALL, and higher above it.
 
-Defined results: text that is null, empty or without words takes part in no pair. A text of fewer than n words has one
-gram. Rows with the same doc_id and text are one document; rows with one doc_id and other texts are compared as they
-are. In pairs, documents without doc_id aren't listed; in drop_copies() they count like others. Other columns are
+The join's result has a row for each document that has a copy or a similar text: its class, which is all that copies and similar pairs connect, named
+by its least doc_id, and the number of links, other texts that are similar to its own. Groups of near copies have pairs in
+proportion to the square of their size; their classes and numbers of links don't.
+
+Defined results: text that is null, empty or without words takes part in nothing. A text of fewer than n words has one
+gram. Rows that agree in doc_id and text are copies of each other, rows with one doc_id and other texts are compared as they
+are. Rows without doc_id are like others; a class without any doc_id is named null. An empty table gives none. Other columns are
 passed over, or passed through by drop_copies().
 """
 
@@ -23,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-from .common import column, materialise, mix, pieces, row_key, seeds, small_or_not
-from .meeting import components, tasks, verified
+from .common import column, mix, pieces, row_keys, seeds
+from .meeting import SHIPPED, TASK, allowed, class_rows, classes, placed, surplus, tasks, verified, without
 from .text import Words
 
 N, THRESHOLD, RECALL, MAX_HASHES = 3, 0.5, 0.95, 192
@@ -61,13 +62,18 @@ def minhash(grams: np.ndarray, bounds: np.ndarray, hashes: int) -> np.ndarray:
     return out
 
 
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    return row_keys(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.filter("text IS NOT NULL AND text <> ''").withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
+    r1, r2 = _keys(docs)
+    own = docs.select(docs["doc_id"].cast("bigint").alias("id"), docs["text"].cast("string").alias("text"), r1.alias("r1"), r2.alias("r2"))
+    return own.filter("text IS NOT NULL AND text <> ''")
 
 
-def _texts(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(rep, members, bands, sig): each text, with its documents."""
+def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(id, r1, r2, f1, f2, size, bands) of each document that has words; f1 and f2 stand for its words in their order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = seeds(bands + rows, 606)
@@ -82,118 +88,71 @@ def _texts(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 seq = words.sequence()[there].view(np.int64)
                 out = batch.slice(a, b - a).take(pa.array(there))
                 yield pa.RecordBatch.from_arrays(
-                    [column(out, "rid"), column(out, "doc_id"), pa.array(seq[:, 0]), pa.array(seq[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
-                     pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
-                    ["rid", "doc_id", "f1", "f2", "bands", "sig"],
+                    [*(column(out, c) for c in ("id", "r1", "r2")), pa.array(seq[:, 0]), pa.array(seq[:, 1]), pa.array(np.diff(bounds)[there].astype(np.int64) * 8),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))],
+                    ["id", "r1", "r2", "f1", "f2", "size", "bands"],
                 )
 
-    found = _keyed(docs).mapInArrow(task, "rid bigint, doc_id bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
-    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    grouped = found.groupBy("f1", "f2").agg(F.sort_array(F.collect_list(who)).alias("members"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    return materialise(grouped.select(F.col("members")[0]["rid"].alias("rep"), "members", "bands", "sig"))
-
-
-def _likely(texts: DataFrame, pairs: DataFrame, hashes: int, least: float) -> DataFrame:
-    """The pairs whose signatures (8 bits of each minimum) estimate at least this similarity."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, hashes) for c in ("sig_a", "sig_b"))
-            alike = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            yield batch.select(["a", "b"]).filter(pa.array(alike >= least))
+    return _keyed(docs).select("id", "r1", "r2", "text").mapInArrow(task, "id bigint, r1 bigint, r2 bigint, f1 bigint, f2 bigint, size bigint, bands array<bigint>")
 
-    pairs = small_or_not(pairs, 16)
-    one = texts.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")).join(pairs, "a")
-    both = texts.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")).join(small_or_not(materialise(one), 16 + hashes), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a bigint, b bigint")
 
-
-def _verify(rids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rids ascend. All pairs of these sets at or above the threshold; if forest, only (member, least member) of each group that they form."""
-    size, a, b, sim = np.array([len(s) for s in sets]), [], [], []
+def alike(loads: list[bytes], parts: np.ndarray, labels: np.ndarray, forest: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The allowed pairs of n-gram sets at or above the threshold; with forest, what two others connect already isn't compared."""
+    sets = [np.frombuffer(x, np.uint64) for x in loads]
+    if len(sets) == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        hit = int(allowed(0, parts, labels)[0] and common >= threshold * (len(sets[0]) + len(sets[1]) - common))
+        return np.zeros(hit, np.int64), np.ones(hit, np.int64)
+    size = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(flat.max() + 1, bool)
-    root = np.arange(len(rids))
-    for i in range(len(rids) - 1):
+    root = np.arange(len(sets))
+    a, b = [], []
+    for i in range(len(sets) - 1):
+        want = allowed(i, parts, labels)
+        if forest:
+            want &= root[i + 1 :] != root[i]
+        if not want.any():
+            continue
         mark[flat[at[i] : at[i + 1]]] = True
         common = np.add.reduceat(mark[flat[at[i + 1] :]], at[i + 1 : -1] - at[i + 1], dtype=np.int64)
         mark[flat[at[i] : at[i + 1]]] = False
-        alike = common / (size[i] + size[i + 1 :] - common)
-        hit = np.flatnonzero((alike >= threshold) & ((sides[i] < 0) | (sides[i + 1 :] != sides[i])))
-        if not forest:
-            a.append(np.full(len(hit), i))
-            b.append(hit + i + 1)
-            sim.append(alike[hit])
-        elif len(hit):
-            joined = np.unique(np.append(root[hit + i + 1], root[i]))
-            if len(joined) > 1:
-                root[np.isin(root, joined)] = joined[0]
-    if forest:
-        b = [np.flatnonzero(root != np.arange(len(root)))]
-        a, sim = [root[b[0]]], [np.ones(len(b[0]))]
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return rids[np.concatenate(a)], rids[np.concatenate(b)], np.concatenate(sim)
-
-
-def _matches(docs: DataFrame, texts: DataFrame, n: int, threshold: float, bands: int, rows: int, forest: bool) -> DataFrame:
-    """(a, b, jaccard) of texts, a < b; if forest, edges enough to connect what all pairs would connect."""
-    least = threshold - 4.5 * math.sqrt(0.25 / (bands * rows))
-    needed = tasks(texts.select("rep", "bands"), lambda pairs: _likely(texts, pairs, bands * rows, least))
+        hit = np.flatnonzero(want & (common >= threshold * (size[i] + size[i + 1 :] - common))) + i + 1
+        a.append(np.full(len(hit), i))
+        b.append(hit)
+        if forest and len(hit):
+            joined = np.unique(np.append(root[hit], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float, forest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bands, rows = choose_bands(threshold, recall)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_of = column(batch, "text")
             for a, b in pieces(words_of):
                 grams, bounds = Words(words_of.slice(a, b - a)).ngrams(n)
-                packed = [np.unique(grams[bounds[i] : bounds[i + 1]]).tobytes() for i in range(b - a)]
+                loads = [np.unique(grams[bounds[i] : bounds[i + 1]]).tobytes() for i in range(b - a)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([column(part, "rid"), column(part, "key"), column(part, "side"), pa.array(packed, pa.binary())], ["rid", "key", "side", "load"])
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in SHIPPED), pa.array(loads, pa.binary())], [*SHIPPED, "load"])
 
-    def compare(rids: np.ndarray, sides: np.ndarray, loads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _verify(rids, sides, [np.frombuffer(x, np.uint64) for x in loads], threshold, forest)
+    def matches(items: DataFrame) -> DataFrame:
+        needed = placed(tasks(items.select("rep", "size", "bands")), items)
+        wanted = _keyed(docs).select("r1", "r2", "text").join(needed, ["r1", "r2"]).select(*SHIPPED, "text")
+        shipped = wanted.mapInArrow(sets, f"{TASK}, load binary")
+        return verified(shipped, lambda loads, parts, labels, forest: alike(loads, parts, labels, forest, threshold), forest)
 
-    wanted = _keyed(docs).join(small_or_not(needed, 24), "rid").select("rid", "key", "side", "text")
-    return verified(wanted.mapInArrow(sets, "rid bigint, key bigint, side int, load binary"), compare).withColumnRenamed("similarity", "jaccard")
+    return classes(_signed(docs, n, bands, rows), matches)
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
-    """(docs_a, docs_b, jaccard): lists of doc_ids; each of docs_a with each other one of docs_b is a pair of this similarity.
-
-    Documents of one text share a list; a text of several documents also has the row (docs, docs, 1.0).
-    """
-    bands, rows = choose_bands(threshold, recall)
-    texts = _texts(docs, n, bands, rows)
-    lists = texts.select("rep", F.expr("array_distinct(filter(transform(members, m -> m.doc_id), d -> d IS NOT NULL))").alias("ids"))
-    pairs = materialise(_matches(docs, texts, n, threshold, bands, rows, False).dropDuplicates(["a", "b"]))
-    used = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    named = materialise(lists.join(small_or_not(used, 8), "rep"))
-    width = 16 + 8 * int(named.agg(F.avg(F.size("ids"))).first()[0] or 1)
-    for side in "ab":
-        ids = named.select(F.col("rep").alias(side), F.col("ids").alias(f"docs_{side}"))
-        pairs = pairs.join(small_or_not(ids, width), side)
-    near = pairs.filter("size(docs_a) > 0 AND size(docs_b) > 0").select("docs_a", "docs_b", "jaccard")
-    return near.unionByName(lists.filter("size(ids) > 1").select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard")))
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, links) of each document that has a copy or a similar text."""
+    return class_rows(*_classes(docs, threshold, n, recall, False)).withColumnRenamed("id", "doc_id")
 
 
 def drop_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
-    """docs without all but one of each group that similar pairs connect: the least doc_id stays. Texts without words stay."""
-    bands, rows = choose_bands(threshold, recall)
-    texts = _texts(docs, n, bands, rows)
-    roots = components(_matches(docs, texts, n, threshold, bands, rows, True))
-    several = texts.select("rep", "members").join(roots, "rep", "left").filter("root IS NOT NULL OR size(members) > 1")
-    each = several.select(F.coalesce("root", "rep").alias("root"), F.explode("members").alias("m"))
-    stays = each.groupBy("root").agg(F.min("m").alias("best"))
-    marked = each.join(stays, "root").groupBy(F.col("m.rid").alias("rid")).agg(F.count("*").alias("rows"), F.max(F.col("m.rid") == F.col("best.rid")).alias("best"))
-    marked = materialise(marked.filter("NOT best OR rows > 1"))
-    keyed = docs.select(F.struct("*").alias("__row"), row_key(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("__rid"))
-    kept = keyed.join(small_or_not(marked.select(F.col("rid").alias("__rid")), 8), "__rid", "left_anti").select("__row.*")
-    once = marked.filter("best").select(F.col("rid").alias("__rid"))
-    if once.isEmpty():
-        return kept
-    again = keyed.join(small_or_not(once, 8), "__rid", "left_semi").dropDuplicates(["__rid"]).select("__row.*")  # equal rows: one stays
-    return kept.unionByName(again)
+    """docs without all but one of each class: the least doc_id stays, one of none only if there is no other. Texts without words stay."""
+    return without(docs, _keys(docs), *surplus(*_classes(docs, threshold, n, recall, True)))

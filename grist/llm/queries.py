@@ -19,7 +19,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.similar_pairs(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.similar_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: All pairs by brute force; the others have fitted models, seeded draws, parsers or tokenizers, which SQL can't express.
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_near_dedup": f"""
-        WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0)
-        SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(max(list_cosine_similarity(a.e, b.e)), 4) AS cosine
-        FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
-        WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}
-        GROUP BY a.vec_id, b.vec_id
+        WITH RECURSIVE r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.e = b.e AS equal, b.e AS other FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE a.e = b.e OR list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+        reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a)
+        SELECT a AS vec_id, least(a, min(b)) AS class_id, (SELECT count(DISTINCT other) FROM p WHERE p.a = reach.a AND NOT equal) AS links FROM reach GROUP BY a
     """,
 }

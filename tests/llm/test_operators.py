@@ -9,12 +9,13 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grist.llm import chat_format, embedding_dedup, html_extract, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan
-from grist.llm.common import ship
+from grist.llm import chat_format, embedding_dedup, html_extract, meeting, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan
+from grist.llm.common import materialise, ship
 from grist.llm.queries import ORACLE_SQL, QUERIES
-from grist.llm.text import gram_set
+from grist.llm.text import WORD, gram_set
 from tests.oracle import SF, same
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid bigint, key string, score double, shard int, __s string, __rid bigint, lo int"
@@ -155,41 +156,101 @@ def test_packing_chooses_the_cheapest():
 # --- 3 and 6 -----------------------------------------------------------------------------------------------------
 
 
-def test_embedding_pairs_against_brute_force(spark):
-    chance = np.random.default_rng(4)
-    base = chance.standard_normal((150, 32))
-    v = np.concatenate([base, base[:100] + chance.standard_normal((100, 32)) * np.linspace(0.02, 0.3, 100)[:, None], base[:3]])
-    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [math.nan] * 32), (904, [1.0, None]), (905, [1.0, 2.0]), (None, [1.0] * 32), (0, base[0].tolist())]
+def groups(ids, pairs):
+    """Each id's class: the least id that pairs connect it to."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def plain_classes(same, alike):
+    """same: what each id has, equal for copies; alike: pairs of ids of different ones. {id: (class, links)} as the operators define them."""
+    pairs = set(alike) | {(a, b) for a, b in combinations(sorted(same), 2) if same[a] == same[b]}
+    partners = {i: {same[b if a == i else a] for a, b in alike if i in (a, b)} for i in same}
+    root = groups(same, pairs)
+    return {i: (root[i], len(partners[i])) for i in same if any(i in p for p in pairs)}
+
+
+def vectors(n=150, d=32, seed=4):
+    chance = np.random.default_rng(seed)
+    base = chance.standard_normal((n, d))
+    return np.concatenate([base, base[:100] + chance.standard_normal((100, d)) * np.linspace(0.02, 0.3, 100)[:, None], base[:3]])
+
+
+def test_embedding_classes_against_brute_force(spark):
+    v = vectors()
+    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [math.nan] * 32), (904, [1.0, None]), (905, [1.0, 2.0]), (None, [1.0] * 32)]
     df = spark.createDataFrame([(i, x.tolist(), 1, 2) for i, x in enumerate(v)] + [(*o, 1, 2) for o in odd], "vec_id bigint, embedding array<double>, label int, rep int")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    want = {(i, j) for i, j in combinations(range(len(u)), 2) if u[i] @ u[j] >= 0.95}
-    got = {(r["vec_a"], r["vec_b"]) for r in embedding_dedup.similar_pairs(df).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) and {(0, 250), (1, 251), (2, 252)} <= got
-    kept = embedding_dedup.drop_near(df)
+    close = {(i, j) for i, j in combinations(range(len(u)), 2) if u[i] @ u[j] >= 0.95 and not np.array_equal(v[i], v[j])}
+    want = plain_classes({i: x.tobytes() for i, x in enumerate(v)}, close)
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in embedding_dedup.similar_classes(df).collect()}
+    assert {i for i, x in got.items() if i >= 250 or i < 3} == {0, 1, 2, 250, 251, 252} and set(got) <= set(want)
+    assert sum(x[1] for x in got.values()) >= 0.9 * sum(x[1] for x in want.values()) and all(got[i][1] <= want[i][1] for i in got)
+    sure = {r["vec_id"]: (r["class_id"], r["links"]) for r in embedding_dedup.similar_classes(df, recall=0.99999).collect()}
+    assert sure == want
+    kept = embedding_dedup.drop_near(df, recall=0.99999)
     assert kept.columns == df.columns
-    ids = [r["vec_id"] for r in kept.collect()]
-    assert not ({b for _, b in got} & set(ids)) and ids.count(0) == 2 and ids.count(None) == 1
-    assert embedding_dedup.similar_pairs(df.limit(0)).count() == 0
+    ids = Counter(r["vec_id"] for r in kept.collect())
+    assert ids == Counter([i for i in range(len(v)) if want.get(i, (i,))[0] == i] + [o[0] for o in odd])
+    assert embedding_dedup.similar_classes(df.limit(0)).count() == 0 and embedding_dedup.drop_near(df.limit(0)).count() == 0
+
+
+def test_embedding_repeated_rows_and_null_ids(spark):
+    x = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(7, x), (7, x), (None, x), (None, [-1.0, 0.5, 0.0]), (None, [-1.0, 0.5, 0.001])], "vec_id bigint, embedding array<double>")
+    assert Counter(map(tuple, embedding_dedup.similar_classes(df).collect())) == {(7, 7, 0): 2, (None, 7, 0): 1, (None, None, 1): 2}
+    assert sorted(((r["vec_id"] or 0) for r in embedding_dedup.drop_near(df).collect())) == [0, 7]
+
 
+def test_embedding_classes_of_the_tables_against_brute_force(spark):
+    """At a cosine that the given vectors do reach; as many tables as find all of its pairs."""
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = df.collect()
+    v = np.array([r["embedding"] for r in rows], np.float64)
+    u, ids = v / np.linalg.norm(v, axis=1, keepdims=True), [r["vec_id"] for r in rows]
+    close = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in combinations(range(len(u)), 2) if u[i] @ u[j] >= 0.4}
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in embedding_dedup.similar_classes(df, 0.4, 0.99999, 4.0, 4).collect()}
+    assert close and got == plain_classes({i: x.tobytes() for i, x in zip(ids, v)}, close)
 
-def test_jaccard_pairs_against_brute_force(spark):
+
+def jaccard_pairs(own, threshold):
+    grams = [gram_set(t, 3) for t in own]
+    return {(i, j) for (i, a), (j, b) in combinations(enumerate(grams), 2) if a and own[i] != own[j] and len(a & b) >= threshold * len(a | b)}
+
+
+def test_jaccard_classes_against_brute_force(spark):
     own = texts()
+    own += own[:5]
     df = spark.createDataFrame([row(i, t) for i, t in enumerate(own)], SCHEMA)
-    grams = [gram_set(t, 3) for t in own]
-    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in combinations(enumerate(grams), 2) if len(a & b) >= 0.5 * len(a | b)}
-    got = {}
-    for r in ngram_join.similar_pairs(df).collect():
-        for a in r["docs_a"]:
-            for b in r["docs_b"]:
-                if a != b:
-                    got[min(a, b), max(a, b)] = r["jaccard"]
-    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
-    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
-    root = list(range(len(own)))
-    for a, b in sorted(got) * 5:
-        root[b] = root[a] = min(root[a], root[b])
+    want = plain_classes(dict(enumerate(own)), jaccard_pairs(own, 0.5))
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.similar_classes(df).collect()}
+    assert set(got) <= set(want) and sum(x[1] for x in got.values()) >= 0.9 * sum(x[1] for x in want.values()) and all(got[i][1] <= want[i][1] for i in got)
+    assert all(got[i][0] == got[120 + i][0] for i in range(5))
     kept = [r["doc_id"] for r in ngram_join.drop_copies(df).collect()]
-    assert all(root[i] == i for i in kept if any(i in p for p in got)) and {i for i in range(len(own)) if not any(i in p for p in got)} <= set(kept)
+    assert sorted(kept) == [i for i in range(len(own)) if got.get(i, (i,))[0] == i]
+    # With bands of one row, any two texts that share a gram are likely to meet.
+    sure = {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.similar_classes(df, 0.9, recall=1 - 1e-12).collect()}
+    assert sure == plain_classes(dict(enumerate(own)), jaccard_pairs(own, 0.9))
+
+
+def test_jaccard_of_the_documents_against_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    ids, own = zip(*((r["doc_id"], r["text"]) for r in df.collect()))
+    words = [" ".join(WORD.findall((t or "").lower())) for t in own]
+    grams = [gram_set(t, 3) for t in own]
+    close = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for (i, a), (j, b) in combinations(enumerate(grams), 2) if a and words[i] != words[j] and len(a & b) >= 0.5 * len(a | b)}
+    want = plain_classes({i: w or str(i) for i, w in zip(ids, words)}, close)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in QUERIES["op6_ngram_jaccard_join"](spark, SF).collect()}
+    assert set(got) <= set(want) and sum(x[1] for x in got.values()) >= 0.95 * sum(x[1] for x in want.values()) > 0
 
 
 def test_jaccard_awkward_tables(spark):
@@ -197,9 +258,33 @@ def test_jaccard_awkward_tables(spark):
     kept = ngram_join.drop_copies(df)
     assert kept.schema == df.schema
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 8, 9])
-    pairs = {(tuple(r["docs_a"]), tuple(r["docs_b"])) for r in ngram_join.similar_pairs(df).collect()}
-    assert pairs & {((4,), (5,)), ((5,), (4,))} and all(set(a + b) <= {4, 5} for a, b in pairs)
-    assert ngram_join.drop_copies(empty(spark)).count() == 0 and ngram_join.similar_pairs(empty(spark)).count() == 0
+    assert Counter(map(tuple, ngram_join.similar_classes(df).collect())) == {(4, 4, 1): 1, (5, 4, 1): 1, (6, 6, 0): 2, (None, 8, 0): 1, (8, 8, 0): 1}
+    assert ngram_join.drop_copies(empty(spark)).count() == 0 and ngram_join.similar_classes(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block, block_bytes", [(2000, 1 << 24), (3, 1 << 24), (2000, 400)])
+def test_meeting_verifies_each_pair_of_a_band_once(spark, block, block_bytes):
+    """Groups cut into blocks or not: items that share a band are linked exactly once, in label groups, pairs and wide bands."""
+    chance = random.Random(9)
+    bands = {i: sorted({chance.randrange(40) if i % 3 else chance.randrange(3) for _ in range(chance.randint(0, 4))}) for i in range(60)}
+    items = spark.createDataFrame([(i, 100, b) for i, b in bands.items()], "rep bigint, size bigint, bands array<bigint>")
+    every = lambda loads, parts, labels, forest: tuple(np.array([(i, i + 1 + j) for i in range(len(loads)) for j in np.flatnonzero(meeting.allowed(i, parts, labels))], np.int64).reshape(-1, 2).T)
+    shipped = meeting.tasks(materialise(items), block, block_bytes).withColumn("load", F.lit(b"x"))
+    out = meeting.verified(shipped, every).collect()
+    met = {(i, j) for i, j in combinations(range(60), 2) if set(bands[i]) & set(bands[j])}
+    # Items of one label are compared whether or not they share a band; so links are at least those of bands, and each pair counts once.
+    links = Counter()
+    for r in out:
+        links[r["a"]] += r["n"] or 0
+    edges = groups(range(60), [(r["a"], r["b"]) for r in out if r["b"] is not None])
+    assert edges == groups(range(60), met)
+    one = groups(range(60), met)
+    assert all(sum(i in p for p in met) <= links[i] <= sum(one[j] == one[i] for j in range(60)) - 1 for i in range(60))
+    again = meeting.verified(meeting.tasks(materialise(items)).withColumn("load", F.lit(b"x")), every)
+    want = Counter()
+    for r in again.collect():
+        want[r["a"]] += r["n"] or 0
+    assert links == want
 
 
 def test_bands_reach_the_recall():

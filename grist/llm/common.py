@@ -7,7 +7,7 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 from pathlib import Path
 
@@ -93,15 +93,22 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, all that was materialised inside; for work whose result has been written elsewhere by then."""
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, all that was materialised inside but what the function it gives was called for."""
     token = _WRITTEN.set([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._grist_folder)
+        return df
+
     try:
-        yield
+        yield keep
     finally:
         for at in _WRITTEN.get() or ():
-            fs, path = _path(spark, at)
-            fs.delete(path, True)
+            if at not in kept:
+                fs, path = _path(spark, at)
+                fs.delete(path, True)
         _WRITTEN.reset(token)
 
 

@@ -1,23 +1,21 @@
 """Mixing sources to target weights (operator 4): a multivariate-hypergeometric splitting tree over blocks.
 
-Each source's documents, in the order of a seeded hash, are its permuted order, cut into blocks of BLOCK documents.
-Blocks fill a source's quota, its weight times one level for all sources, up to the rounding to blocks; a source whose quota
-exceeds its supply gives everything it has, and no document is repeated. With weights, the level is the highest at which sources that fall short hold
-no more than SHORT of the weight. Without weights, it rises further until KEEP of all documents are in the mixture, so what small sources
-lack is spread over the others by weight, and no source, small or hot, costs more than 1 - KEEP of the documents.
+Each source's documents, in the order of a seeded hash, are its permuted order, cut into blocks of BLOCK documents, the last one
+possibly short. The mixture has a size in documents, by default the share KEEP of those that there are. Each source's quota is its share, by weight,
+of that size, up to the rounding to blocks; a source whose quota exceeds its supply gives everything it has, once, and what it lacks is spread
+over the others by weight. So sources that have enough are in the ratios of their weights, and no source, small or hot, bounds the others.
 The root of the tree holds the quotas of all sources;
 a node splits its quotas between the two halves of its output shards by a multivariate hypergeometric draw, down to
 single shards, so shards are equal in blocks and jointly distributed as a uniform shuffle of all chosen blocks. A shard takes the
 next blocks of each source, so blocks are disjoint, and shuffles its own documents.
 
 Nodes draw from generators seeded by their place; any task can compute any part of the tree, and the driver only
-ever holds one count for each source. Ranks come from a shuffle of keys by (source, leading bits of the hash), whose
-groups have about BUCKET documents at every size, so a hot source is no skew.
+ever holds one count for each source, as a node of the tree does. Draws are exact at every size. Ranks come from a shuffle of keys by (source, leading bits of
+the hash), whose groups have about BUCKET documents at every size, so a hot source is no skew.
 
-Defined results: null is a source of its own. A source of fewer than BLOCK documents gives them all as one short
-block, any other one block at least; a source of weight 0 or null, or that isn't named in weights, gives none. Rows that agree in source, doc_id
-and text share a rank and stay together, so quotas are exact if rows are distinct. An empty table gives an empty mixture. Other columns are passed over,
-or passed through by mixed().
+Defined results: null is a source of its own. A source of weight 0 or null, or that isn't named in weights, gives none; one whose quota is
+far below a block may give none. Rows that agree in source, doc_id and text share a rank and stay together, so quotas are exact if rows are distinct.
+An empty table gives an empty mixture. Other columns are passed over, or passed through by mixed().
 """
 
 from __future__ import annotations
@@ -33,56 +31,51 @@ from pyspark.sql import functions as F
 from .common import column, materialise, row_key, small_or_not
 
 BLOCK, SHARD, BUCKET, TEMPERATURE, SEED = 8, 4096, 4096, 0.7, 4
-#: The share of the weight that may fall short when weights are exact; the share of all documents that a mixture without weights has at least.
-SHORT, KEEP = 0.05, 0.9
+#: The share of all documents that a mixture without a size has.
+KEEP = 0.9
 
 
-def quotas(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, keep: float = KEEP) -> dict[str | None, int]:
-    """Blocks for each source, the last one of a source possibly short. Without weights, a source weighs its number of documents to the power of temperature."""
+def quotas(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, size: int | None = None, block: int = BLOCK, temperature: float = TEMPERATURE) -> dict[str | None, int]:
+    """Blocks for each source, of size documents in all. Without weights, a source weighs its number of documents to the power of temperature."""
     w = {s: float(n) ** temperature if weights is None else float(weights.get(s) or 0.0) for s, n in counts.items()}
     w = {s: x for s, x in w.items() if x > 0 and counts[s] > 0}
-    if not w:
-        return {}
-    # The level is blocks for each unit of weight; exact: where no more than SHORT of the weight falls short.
-    whole = {s: (counts[s] // block if counts[s] >= block else counts[s] / block) / x for s, x in w.items()}
-    level, short = 0.0, 0.0
-    for s in sorted(w, key=lambda s: (whole[s], s is None, s or "")):
-        level, short = whole[s], short + w[s]
-        if short > SHORT * sum(w.values()):
+    supply = sum(counts[s] for s in w)
+    left, free = min(supply, math.ceil(KEEP * supply) if size is None else size), sum(w.values())
+    out = {}
+    for s in sorted(w, key=lambda s: (counts[s] / w[s], s is None, s or "")):
+        if left * w[s] < counts[s] * free:
             break
-    if weights is None:  # raised until the sources, each up to its supply, give the share keep of all documents
-        left, free = keep * sum(counts[s] for s in w) / block, sum(w.values())
-        for s in sorted(w, key=lambda s: counts[s] / w[s]):
-            if left / free <= counts[s] / block / w[s]:
-                break
-            left, free = left - counts[s] / block, free - w[s]
-        level = max(level, left / free) if free > 0 else math.inf
-    out = {s: math.ceil(counts[s] / block) for s, x in w.items() if counts[s] < block or level * x >= counts[s] / block - 1e-9}
-    exact = {s: level * x for s, x in w.items() if s not in out}
-    own = {s: max(1, math.floor(e + 1e-9)) for s, e in exact.items()}
-    more = math.floor(sum(exact.values()) + 1e-9) - sum(own.values())
-    lacks = (keep if weights is None else 0.0) * sum(counts[s] for s in w) - sum(min(counts[s], b * block) for s, b in (out | own).items())
-    for s in sorted(exact, key=lambda s: (own[s] - exact[s], s is None, s or "")):  # by largest remainder
-        if more <= 0 and lacks <= 0:
-            break
-        if own[s] * block < counts[s]:
-            lacks -= min(block, counts[s] - own[s] * block)
-            own[s], more = own[s] + 1, more - 1
-    return out | own
+        out[s] = math.ceil(counts[s] / block)
+        left, free = left - counts[s], free - w[s]
+    exact = {s: left * x / free / block for s, x in w.items() if s not in out}
+    own = {s: math.floor(e + 1e-9) for s, e in exact.items()}
+    more = math.ceil(sum(exact.values()) - 1e-9) - sum(own.values())
+    for s in sorted(exact, key=lambda s: (own[s] - exact[s], s is None, s or ""))[:more]:  # by largest remainder
+        own[s] += 1
+    return {s: n for s, n in (out | own).items() if n}
 
 
 def _draw(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
-    """Hypergeometric; NumPy's ends at 10**9, beyond it the normal distribution with the same mean and variance, within what is possible."""
+    """Hypergeometric, at any size: how many of n draws from good + bad are good.
+
+    NumPy's own ends at 10**9. Beyond it each item is kept with chance n / all, which is binomial for good and for bad ones; given how many are kept, they are a uniform
+    sample of that many, and the few that are missing or too many are drawn in the same way.
+    """
     if good == 0 or n == 0:
         return 0
     if bad == 0:
         return n
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    t = good + bad
-    p = good / t
-    x = round(rng.normal(n * p, math.sqrt(n * p * (1 - p) * (t - n) / (t - 1))))
-    return int(min(max(x, n - bad, 0), good, n))
+    if n <= 1000:
+        got = 0
+        for k in range(n):
+            got += int(rng.integers(good + bad - k)) < good - got
+        return got
+    x, y = (int(rng.binomial(k, n / (good + bad))) for k in (good, bad))
+    if x + y > n:
+        return x - _draw(x, y, x + y - n, rng)
+    return x + _draw(good - x, bad - y, n - x - y, rng)
 
 
 def split(colours: list[int], n: int, rng: np.random.Generator) -> list[int]:
@@ -118,17 +111,17 @@ def _source(c: Column) -> Column:
 
 
 def _keys(docs: DataFrame, seed: int) -> list[Column]:
-    key = row_key(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
-    return [_source(docs["source"]).alias("__s"), F.xxhash64(F.lit(seed), key).alias("__h")]
+    key = row_key(F.lit(seed), docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+    return [_source(docs["source"]).alias("__s"), key.alias("__h")]
 
 
-def _assigned(docs: DataFrame, weights: Mapping[str | None, float] | None, block: int, shard: int, seed: int) -> tuple[DataFrame, int]:
+def _assigned(docs: DataFrame, weights: Mapping[str | None, float] | None, size: int | None, block: int, shard: int, seed: int) -> tuple[DataFrame, int]:
     """(doc_id, source, __s, __h, __bucket, __shard) of the documents that are chosen; the bits of __bucket."""
     spark = docs.sparkSession
     keys = materialise(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), *_keys(docs, seed)))
     counts = {r["__s"]: r["n"] for r in keys.groupBy("__s").agg(F.count("*").alias("n")).collect()}  # one row a source
     own = None if weights is None else {("n" if s is None else "s" + s): w for s, w in weights.items()}
-    blocks = quotas(counts, own, block)
+    blocks = quotas(counts, own, size, block)
     names = sorted(blocks)
     have = [blocks[s] for s in names]
     shards = max(1, math.ceil(sum(have) * block / shard))
@@ -154,19 +147,19 @@ def _assigned(docs: DataFrame, weights: Mapping[str | None, float] | None, block
     return ranked.join(small_or_not(materialise(plan), 32), ["__s", "__block"]).select("doc_id", "source", "__s", "__h", "__bucket", "__shard"), bits
 
 
-def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, size: int | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """(shard, position, doc_id, source) of the mixture: every chosen document, and its place in its shard's own shuffle."""
-    chosen, _ = _assigned(docs, weights, block, shard, seed)
+    chosen, _ = _assigned(docs, weights, size, block, shard, seed)
     order = Window.partitionBy("__shard").orderBy(F.xxhash64(F.lit(seed + 1), "__h"), "__h", "source")
     return chosen.select(F.col("__shard").alias("shard"), (F.row_number().over(order) - 1).cast("bigint").alias("position"), "doc_id", "source")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, size: int | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The rows of docs that are chosen, all columns, each shard together in its shuffled order; the texts are shuffled once.
 
     What a shard takes of a source is an interval of hashes, so documents find their shard by comparing, without being joined by id.
     """
-    chosen, bits = _assigned(docs, weights, block, shard, seed)
+    chosen, bits = _assigned(docs, weights, size, block, shard, seed)
     ends = chosen.groupBy("__s", "__shard").agg(F.min(F.struct("__bucket", "__h")).alias("lo"), F.max(F.struct("__bucket", "__h")).alias("hi"))
     ends = materialise(ends.withColumn("__bucket", F.explode(F.sequence("lo.__bucket", "hi.__bucket"))))
     own = docs.select(F.struct("*").alias("__row"), *_keys(docs, seed))  # a struct, so that no column of docs clashes

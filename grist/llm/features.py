@@ -1,7 +1,7 @@
-"""Hashed indicator features of a text: word 1- and 2-grams, and byte 2- and 3-grams that keep case and punctuation.
+"""Hashed indicator features of a text: word 1- and 2-grams, and character 2- and 3-grams that keep case and punctuation.
 
 A word that equals the word before it counts as the one marker "repeated", so that runs of any
-word share features. The first HALF features are of words, the rest of bytes.
+word share features. The first HALF features are of words, the rest of characters (Unicode code points).
 """
 
 from __future__ import annotations
@@ -24,6 +24,13 @@ def _buckets(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS + 1)).astype(np.int32)
 
 
+def _spread(h: np.ndarray, factor: np.uint32) -> np.ndarray:
+    """Features of character n-grams from their polynomial hashes; the upper bits decide, after the lower ones were folded into them."""
+    h = (h ^ (h >> np.uint32(15))) * factor
+    h ^= h >> np.uint32(13)
+    return (h * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS + 1)).astype(np.int32) + HALF
+
+
 def _of_piece(texts: pa.Array) -> Iterator[np.ndarray]:
     """For each text, the features it has, with repeats."""
     words, (raw, at) = Words(texts), utf8(texts)
@@ -35,14 +42,14 @@ def _of_piece(texts: pa.Array) -> Iterator[np.ndarray]:
     h[same] = _REPEATED
     one = _buckets(mix(h + s[0]))
     two = _buckets(mix(h[:-1] * s[1] + h[1:] + s[2])) if len(h) > 1 else np.zeros(0, np.int32)
-    wide = raw.astype(np.uint32)
-    pair = wide[:-1] | (wide[1:] << np.uint32(8)) if len(wide) > 1 else np.zeros(0, np.uint32)
-    triple = pair[:-1] | (wide[2:] << np.uint32(16)) if len(wide) > 2 else np.zeros(0, np.uint32)
-    shift = np.uint32(32 - BITS + 1)
-    pair = ((pair + np.uint32(1 << 24)) * np.uint32(0x9E3779B1) >> shift).astype(np.int32) + HALF
-    triple = ((triple + np.uint32(2 << 24)) * np.uint32(0x85EBCA6B) >> shift).astype(np.int32) + HALF
+    whole = raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+    wide = np.frombuffer(whole, np.uint32)
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]  # characters before each text
+    pair = wide[:-1] * np.uint32(0x01000193) + wide[1:] if len(wide) > 1 else np.zeros(0, np.uint32)
+    triple = pair[:-1] * np.uint32(0x01000193) + wide[2:] if len(wide) > 2 else np.zeros(0, np.uint32)
+    pair, triple = _spread(pair, np.uint32(0x9E3779B1)), _spread(triple, np.uint32(0x85EBCA6B))
     for i in range(len(texts)):
-        a, b, c, d = at[i], at[i + 1], words.bounds[i], words.bounds[i + 1]
+        a, b, c, d = before[i], before[i + 1], words.bounds[i], words.bounds[i + 1]
         yield np.concatenate([one[c:d], two[c : max(c, d - 1)], pair[a : max(a, b - 1)], triple[a : max(a, b - 2)]])
 
 

@@ -1,4 +1,4 @@
-"""Quality rules (operator 5): hashed word and byte n-gram logistic regression, calibrated, against fixed thresholds.
+"""Quality rules (operator 5): hashed word and character n-gram logistic regression, calibrated, against fixed thresholds.
 
 The indicators of features.py, divided by the root of their number, go into an L2-regularised logistic
 regression fitted by L-BFGS to labelled quality rows; Platt's sigmoid is fitted to the held-out fifth.

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, column, materialise, row_key
+from .common import BROADCAST_BYTES, column, discard, materialise, row_keys
 
 MIN_PAGES, SHARE = 5, 0.01
 
@@ -59,20 +60,20 @@ def parse(page: str) -> Element:
     """The tree of a page: children are elements and strings."""
     root = Element("#page", "")
     stack, at, n = [root], 0, len(page)
-    open_names = {"#page": 1}
+    places: dict[str, list[int]] = {"#page": [0]}  # of the open elements of each name in stack
     unclosed: set[str] = set()
 
+    def top(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
     def close(k: int) -> None:
         for e in stack[k:]:
-            open_names[e.name] -= 1
+            places[e.name].pop()
         del stack[k:]
 
     def end_head() -> None:
-        k = len(stack) - 1
-        while stack[k].name != "head":
-            k -= 1
-        if not any(e.name == "template" for e in stack[k:]):
-            close(k)
+        if top("template") < top("head"):
+            close(top("head"))
 
     while at < n:
         i = page.find("<", at)
@@ -101,24 +102,16 @@ def parse(page: str) -> Element:
         if not name:
             continue
         if m[1] or m[4]:
-            if open_names.get(name):
-                k = len(stack) - 1
-                while stack[k].name != name:
-                    k -= 1
-                close(k)
+            if top(name) > 0:
+                close(top(name))
             continue
-        if open_names.get("head") and name not in _HEAD:
+        if top("head") > 0 and name not in _HEAD:
             end_head()
         if rule := _ENDS.get(name):
             ends, fences = rule
-            if any(open_names.get(x) for x in ends):
-                k, cut = len(stack) - 1, 0
-                while k > 0 and stack[k].name not in fences:
-                    if stack[k].name in ends:
-                        cut = k
-                    k -= 1
-                if cut:
-                    close(cut)
+            fence = max(0, *map(top, fences))
+            if cuts := [places[x][k] for x in ends if places.get(x) and (k := bisect_right(places[x], fence)) < len(places[x])]:
+                close(min(cuts))
         e = Element(name, m[3] if m[2] else m[6] or "")
         stack[-1].children.append(e)
         if name in _VOID or e.attributes.endswith("/"):
@@ -131,8 +124,8 @@ def parse(page: str) -> Element:
                 at = end.end()
                 continue
             unclosed.add(name)
+        places.setdefault(name, []).append(len(stack))
         stack.append(e)
-        open_names[name] = open_names.get(name, 0) + 1
     return root
 
 
@@ -218,16 +211,18 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = S
     rows' keys, which doesn't depend on how large a host is.
     """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    own = own.select("page_id", host_of(F.col("url")).alias("host"), row_key(F.col("page_id"), F.col("url"), F.col("html")).alias("rid"), "html")
+    r1, r2 = row_keys(F.col("page_id"), F.col("url"), F.col("html"))
+    own = own.select("page_id", host_of(F.col("url")).alias("host"), r1.alias("r1"), r2.alias("r2"), "html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [candidates(h.as_py()) for h in column(batch, "html")]
             lists = [pa.array([list(x) for x in part], pa.list_(pa.int64())) for part in (found, [x.values() for x in found])]
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "host"), *lists], ["rid", "host", "hashes", "rests"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("r1", "r2", "host")), *lists], ["r1", "r2", "host", "hashes", "rests"])
 
-    seen = materialise(own.filter("html IS NOT NULL").mapInArrow(count, "rid bigint, host string, hashes array<bigint>, rests array<bigint>").dropDuplicates(["rid"]))
-    each = seen.select("rid", "host", F.explode("hashes").alias("hash"))
+    seen = own.filter("html IS NOT NULL").mapInArrow(count, "r1 bigint, r2 bigint, host string, hashes array<bigint>, rests array<bigint>")
+    seen = materialise(seen.dropDuplicates(["r1", "r2"]))
+    each = seen.select("r1", "r2", "host", F.explode("hashes").alias("hash"))
     sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
     met = seen.select("host", F.explode(F.arrays_zip("hashes", "rests")).alias("x")).select("host", F.col("x.hashes").alias("hash"), F.col("x.rests").alias("rest")).distinct()
     often = met.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
@@ -251,7 +246,8 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = S
     if template.count() * 48 <= limit:
         lists = F.broadcast(template.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")))
         joined = own.join(lists, "host", "left")
+        discard(seen)
     else:
-        lists = each.join(template, ["host", "hash"]).groupBy("rid").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
-        joined = own.join(lists, "rid", "left")
+        lists = each.join(template, ["host", "hash"]).groupBy("r1", "r2").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+        joined = own.join(lists, ["r1", "r2"], "left")
     return joined.select("page_id", "host", "html", "hashes").mapInArrow(delete, "page_id bigint, host string, text string, removed bigint")

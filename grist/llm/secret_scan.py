@@ -2,12 +2,12 @@
 
 Candidates are runs of base64 characters, hex runs that begin as a key does, PEM blocks (also inside JSON, .env or source strings, where
 line ends and other characters are escaped and lines are strings of their own), and what follows an assignment cue
-("token = ...", "password=..."). A candidate is reported only when a parser confirms it:
+("token = ...", "password=...", "Authorization: Bearer ..."). A candidate is reported only when a parser confirms it:
 
   der_key         base64 (in PEM or bare) or bare hex of an ASN.1 SEQUENCE whose nested lengths add up to the end and that holds an
                   INTEGER, an OID or an OCTET STRING, as PKCS#1, PKCS#8 and SEC1 keys do
   ssh_key         base64 of length-prefixed fields that use up all bytes, the first naming a key type, or of an OpenSSH
-                  private-key container
+                  private-key container, its nested lengths followed through cipher, public keys and private part to the last byte
   signed_token    three base64url parts, the first a JSON object with "alg", the second a JSON object
   access_key_id   a four-letter AWS-style prefix and 16 base32 characters that decode to 10 bytes
   hex_key         an assigned run of hex digits, an even number of them, that decodes to 8 bytes or more, not of few values
@@ -27,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +35,12 @@ from pyspark.sql import DataFrame
 from .common import column
 
 MASK = "[SECRET]"
+_MAGIC = b"openssh-key-v1\0"
 _CUE = r"(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd|credential|private[_-]?key|bearer)"
 _ASSIGNED = re.compile(rf"(?i:(?<![A-Za-z]){_CUE})[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?(?P<v>[A-Za-z0-9+/_=.-]{{12,}})")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30})PRIVATE KEY-----([A-Za-z0-9+/=\s:,\\\"'-]{16,}?)-----END \1PRIVATE KEY-----")
+_BEARER = re.compile(r"(?i:(?<![A-Za-z])bearer)\s{1,3}(?P<v>[A-Za-z0-9+/_=.-]{12,})")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,30})PRIVATE KEY-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\\"'-]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA|AGPA|ANPA|ANVA)([A-Z2-7]{16})(?![A-Za-z0-9])", re.I)
 #: Structure shows in the first characters: MC.. to MI.. is an ASN.1 SEQUENCE, AAAA a length, b3BlbnNza a container's name.
@@ -106,20 +110,44 @@ def is_der_key(b: bytes) -> bool:
     return len(b) >= 24 and (tags[0x02] >= 2 or (tags[0x06] >= 1 and tags[0x03] + tags[0x04] >= 1) or (tags[0x02] >= 1 and tags[0x04] >= 1))
 
 
+def _fields(b: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """n fields of four-byte lengths from a place on, and where they end; without n, those that end with the bytes. None if they don't fit."""
+    fields: list[bytes] = []
+    while at < len(b) if n is None else len(fields) < n:
+        size = int.from_bytes(b[at : at + 4], "big")
+        if at + 4 + size > len(b):
+            return None
+        fields.append(b[at + 4 : at + 4 + size])
+        at += 4 + size
+    return fields, at
+
+
+def _names_key(fields: list[bytes]) -> bool:
+    return len(fields) >= 2 and bool(re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]{2,60}", fields[0]))
+
+
+def is_openssh_container(b: bytes) -> bool:
+    """The magic, cipher, derivation and its options, a number of keys, so many public keys and one private part, up to the last byte, every length nested exactly."""
+    at = len(_MAGIC)
+    if not b.startswith(_MAGIC) or not (head := _fields(b, at, 3)):
+        return False
+    (cipher, derivation, options), at = head
+    keys = int.from_bytes(b[at : at + 4], "big")
+    if not all(re.fullmatch(rb"[a-z0-9@.-]{2,60}", x) for x in (cipher, derivation)) or not 1 <= keys <= len(b) // 16:
+        return False
+    if not (rest := _fields(b, at + 4, keys + 1)) or rest[1] != len(b):
+        return False
+    *public, private = rest[0]
+    if any(not (x := _fields(p, 0)) or not _names_key(x[0]) for p in public) or not private or len(private) % 8:
+        return False
+    if cipher != b"none":
+        return derivation != b"none" and bool(options)
+    return private[:4] == private[4:8] and bool(inner := _fields(private, 8, 2)) and _names_key(inner[0])
+
+
 def is_ssh_key(b: bytes) -> bool:
     """An OpenSSH container, or fields of four-byte lengths that end with the bytes, the first a key type."""
-    if b.startswith(b"openssh-key-v1\0"):
-        return len(b) > 30
-    at, fields = 0, []
-    while at < len(b):
-        if at + 4 > len(b):
-            return False
-        n = int.from_bytes(b[at : at + 4], "big")
-        if at + 4 + n > len(b):
-            return False
-        fields.append(b[at + 4 : at + 4 + n])
-        at += 4 + n
-    return len(fields) >= 2 and bool(re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]{2,60}", fields[0]))
+    return is_openssh_container(b) or bool(x := _fields(b, 0)) and _names_key(x[0])
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -160,10 +188,13 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if not any(x in low for x in _SIGNS) and not _DER.search(text) and not _HEX_DER.search(text):
         return []
     found: list[tuple[int, int, str]] = []
-    for m in _PEM.finditer(text):
-        b = decode_base64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", _unescaped(m[2])))
-        if b and (is_der_key(b) or is_ssh_key(b)):
-            found.append((m.start(), m.end(), "der_key" if is_der_key(b) else "ssh_key"))
+    begin = None
+    for m in _PEM.finditer(text):  # a block ends at the mark that follows its beginning, so each byte is looked at once
+        if m[1] == "END" and begin and begin[2] == m[2] and _PEM_BODY.fullmatch(text, begin.end(), m.start()):
+            b = decode_base64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", _unescaped(text[begin.end() : m.start()])))
+            if b and (is_der_key(b) or is_ssh_key(b)):
+                found.append((begin.start(), m.end(), "der_key" if is_der_key(b) else "ssh_key"))
+        begin = m if m[1] == "BEGIN" else None
     for m in _JWT.finditer(text):
         if is_signed_token(m[1], m[2]):
             found.append((m.start(), m.end(), "signed_token"))
@@ -177,7 +208,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     for m in _HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), "der_key"))
-    for m in _ASSIGNED.finditer(text):
+    for m in chain(_ASSIGNED.finditer(text), _BEARER.finditer(text)):
         value = m["v"].rstrip(".-_")
         if kind := _assigned(value):
             found.append((m.start("v"), m.start("v") + len(value), kind))

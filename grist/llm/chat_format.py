@@ -19,10 +19,12 @@ Schemas are checked by the keywords of JSON Schema 2020-12 and the older forms o
 A keyword that can't be checked (a $ref that leads nowhere or elsewhere, $dynamicRef, unevaluated..., a format without a check here, a value of the wrong
 kind, an unknown keyword) is reported as unchecked_keyword; annotations and keywords that begin with x- are passed over.
 
-Defined results: rows that agree in conv_id, turn, role and text are one message. Rows with null conv_id form one conversation without id. Null turns
-come first; rows of equal turn are ordered by role, then text; a null role or text is JSON null, an empty text "". Text that isn't
-a JSON object of these forms is plain, however long. The first of equal call identifiers takes the first result. Nodes on a cycle follow at the end, by
-turn. An empty table gives none; other columns are passed over.
+Defined results: rows that agree in conv_id, turn, role and text are one message. A row with null conv_id is a conversation of its own, without id, as nothing
+says what it belongs to. Null turns come first; rows of equal turn are ordered by role, then text, and calls follow the very row that makes them; a null role or text
+is JSON null, an empty text "". Text that isn't a JSON object of these forms, or is nested too deep for a parser, is plain, however long. Identifiers that aren't
+strings stand for their canonical JSON; a tool's name that isn't a string is unknown. Numbers that no double holds are null. Arguments too deep to be checked,
+and patterns that take longer than PATTERN_SECONDS for a value, are reported as unchecked_keyword. The first of equal call identifiers takes the first result. Nodes on a
+cycle follow at the end, by turn. An empty table gives none; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -39,10 +41,14 @@ from typing import Any
 from urllib.parse import unquote
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialise, row_key
+from .common import column, materialise, row_keys
+
+#: A pattern of a schema is data, and may take for ever.
+PATTERN_SECONDS = 2.0
 
 
 def _whole(s: str) -> str:
@@ -50,6 +56,37 @@ def _whole(s: str) -> str:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
+def _scalar(v: Any) -> str:
+    if isinstance(v, float):
+        v = (int(v) if v.is_integer() and abs(v) < 1e21 else v) if math.isfinite(v) else None
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _deep(x: Any) -> str:
+    """canonical() by a stack of its own, for values nested deeper than the interpreter recurses."""
+    out: list[str] = []
+    todo: list[Any] = [(x,)]  # values in tuples, and strings to be written as they are
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            out.append(v)
+            continue
+        v = v[0]
+        if isinstance(v, dict):
+            parts: list[Any] = ["{"]
+            for k, key in enumerate(sorted(v)):
+                parts += ["," if k else "", _scalar(key) + ":", (v[key],)]
+            todo += reversed([*parts, "}"])
+        elif isinstance(v, list):
+            parts = ["["]
+            for k, w in enumerate(v):
+                parts += ["," if k else "", (w,)]
+            todo += reversed([*parts, "]"])
+        else:
+            out.append(_scalar(v))
+    return "".join(out)
+
+
 def canonical(x: Any) -> str:
     """Canonical JSON of a parsed value."""
 
@@ -57,10 +94,18 @@ def canonical(x: Any) -> str:
         if isinstance(v, float):
             return (int(v) if v.is_integer() and abs(v) < 1e21 else v) if math.isfinite(v) else None
         if isinstance(v, dict):
-            return {str(k): plain(w) for k, w in v.items()}
+            return {k: plain(w) for k, w in v.items()}
         return [plain(w) for w in v] if isinstance(v, list) else v
 
-    return _whole(json.dumps(plain(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    try:
+        return _whole(json.dumps(plain(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    except RecursionError:
+        return _whole(_deep(x))
+
+
+def _name(x: Any) -> str:
+    """An identifier as text."""
+    return _whole(x) if isinstance(x, str) else canonical(x)
 
 
 def _parsed(text: str | None) -> dict | None:
@@ -78,7 +123,7 @@ _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 def _is(value: Any, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES.get(kind, object))
 
 
@@ -94,7 +139,7 @@ def _date(s: str) -> bool:
 
 
 def _regex(s: str) -> bool:
-    return bool(re.compile(s))
+    return bool(regex.compile(s))
 
 
 #: A check raises ValueError or re.error, or gives False, where a string hasn't the format.
@@ -111,6 +156,11 @@ _FORMATS = {
 }
 
 
+def _holds(pattern: str, value: str) -> bool:
+    """Whether the pattern is found in value; TimeoutError if that takes too long."""
+    return bool(regex.search(pattern, value, timeout=PATTERN_SECONDS))
+
+
 def _resolve(ref: Any, root: Any) -> Any:
     """What a $ref within root stands for; LookupError or ValueError if it is elsewhere or nowhere."""
     if not isinstance(ref, str) or not ref.startswith("#"):
@@ -149,11 +199,12 @@ def violations(value: Any, schema: Any, path: str = "$", root: Any = None, unche
         if keyword in _SILENT or keyword.startswith("x-"):
             continue
         try:
-            out += _broken(value, schema, keyword, path, root, unchecked, refs)
-        except (TypeError, AttributeError, ValueError, LookupError, ArithmeticError, RecursionError, re.error):
+            broken = _broken(value, schema, keyword, path, root, unchecked, refs)
+            if broken and keyword == "type":  # what else is wrong with a value of another type says nothing
+                return [path]
+            out += broken
+        except (TypeError, AttributeError, ValueError, LookupError, ArithmeticError, RecursionError, TimeoutError, re.error, regex.error):
             unchecked.add(keyword)
-        if keyword == "type" and out:
-            return [path]
     return list(dict.fromkeys(out))
 
 
@@ -200,10 +251,10 @@ def _broken(value: Any, schema: dict, keyword: str, path: str, root: Any, unchec
             case "properties":
                 return [p for k in sorted(value) if k in x for p in part(k, x[k])]
             case "patternProperties":
-                return [p for k in sorted(value) for name, s in x.items() if re.search(name, k) for p in part(k, s)]
+                return [p for k in sorted(value) for name, s in x.items() if _holds(name, k) for p in part(k, s)]
             case "additionalProperties":
                 known, patterns = schema.get("properties") or {}, schema.get("patternProperties") or {}
-                return [p for k in sorted(value) if k not in known and not any(re.search(name, k) for name in patterns) for p in part(k, x)]
+                return [p for k in sorted(value) if k not in known and not any(_holds(name, k) for name in patterns) for p in part(k, x)]
             case "propertyNames":
                 return [f"{path}.{k}" for k in sorted(value) if not fits(k, x)]
             case "minProperties":
@@ -240,12 +291,12 @@ def _broken(value: Any, schema: dict, keyword: str, path: str, root: Any, unchec
             case "maxLength":
                 return here(len(value) > x)
             case "pattern":
-                return here(not re.search(x, value))
+                return here(not _holds(x, value))
             case "format":
                 check = _FORMATS[x]
                 try:
                     return here(not check(value))
-                except (ValueError, re.error):
+                except (ValueError, re.error, regex.error):
                     return [path]
     if _is(value, "number"):
         match keyword:
@@ -271,19 +322,17 @@ _KNOWN = frozenset(
 
 
 def _references(x: Any) -> Iterator[str]:
-    if isinstance(x, dict):
-        if set(x) == {"$result"}:
-            yield str(x["$result"])
-        else:
-            for v in x.values():
-                yield from _references(v)
-    elif isinstance(x, list):
-        for v in x:
-            yield from _references(v)
+    todo = [x]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict) and set(v) == {"$result"}:
+            yield _name(v["$result"])
+        elif isinstance(v, (dict, list)):
+            todo += v.values() if isinstance(v, dict) else v
 
 
-def _items(text: str | None) -> tuple[str, list[tuple[str, str]], str | None, dict]:
-    """(kind, [(identifier, JSON)], content, schemas) of a turn's text."""
+def _items(text: str | None) -> tuple[str, list[tuple[str, str, str]], str | None, dict]:
+    """(kind, [(identifier, name, JSON)], content, schemas) of a turn's text; name is JSON too."""
     x = _parsed(text)
     if x and isinstance(x.get("tool_calls"), list) and all(isinstance(c, dict) for c in x["tool_calls"]):
         calls = []
@@ -295,21 +344,29 @@ def _items(text: str | None) -> tuple[str, list[tuple[str, str]], str | None, di
                     args = json.loads(args)
                 except (ValueError, RecursionError):
                     pass
-            calls.append((_whole(str(c.get("id"))), canonical({"name": f.get("name"), "arguments": args})))
+            calls.append((_name(c.get("id")), canonical(f.get("name")), canonical(args)))
         content = x.get("content")
-        return "calls", calls, content if content is None else _whole(content) if isinstance(content, str) else canonical(content), {}
+        return "calls", calls, content if content is None else _name(content), {}
     if x and "tool_call_id" in x:
-        return "result", [(_whole(str(x["tool_call_id"])), canonical(x.get("content")))], None, {}
+        return "result", [(_name(x["tool_call_id"]), "null", canonical(x.get("content")))], None, {}
     if x and isinstance(x.get("tools"), list) and all(isinstance(t, dict) for t in x["tools"]):
         tools = [t["function"] if isinstance(t.get("function"), dict) else t for t in x["tools"]]
-        return "tools", [], canonical(x), {str(t.get("name")): t.get("parameters", True) for t in tools}
-    return "text", [], text, {}
+        return "tools", [], canonical(x), {t["name"]: t.get("parameters", True) for t in tools if isinstance(t.get("name"), str)}
+    return "text", [], text if text is None else _whole(text), {}
+
+
+def _read(text: str) -> tuple[Any, bool]:
+    """The value of canonical JSON, and whether it could be read; what is nested too deep can't."""
+    try:
+        return json.loads(text), True
+    except (ValueError, RecursionError):
+        return None, False
 
 
 def assemble(messages: list[dict], schemas: Mapping[str, Any] | None = None) -> tuple[str, int, int, int, list[str]]:
     """(chat, messages, calls, linked, problems) of one conversation.
 
-    messages: kind, turn, role, content, id, partner (the other end's place in messages order, or None), repeat; in the order of their turns.
+    messages: kind, row (of the conversation), role, id, name, content (JSON but for messages), repeat, linked, schemas; in the order of their turns.
     """
     known = dict(schemas or {})
     for m in messages:
@@ -317,7 +374,8 @@ def assemble(messages: list[dict], schemas: Mapping[str, Any] | None = None) ->
     problems: list[str] = []
     after: dict[int, list[int]] = {i: [] for i in range(len(messages))}
     waits = [0] * len(messages)
-    call_at = {m["id"]: i for i, m in reversed(list(enumerate(messages))) if m["kind"] == "call" and not m["repeat"]}
+    message_at = {m["row"]: i for i, m in enumerate(messages) if m["kind"] == "message"}
+    call_at = {m["id"]: i for i, m in enumerate(messages) if m["kind"] == "call" and not m["repeat"]}
     result_at = {m["id"]: i for i, m in enumerate(messages) if m["kind"] == "result" and m["linked"]}
 
     def edge(a: int, b: int) -> None:
@@ -326,9 +384,9 @@ def assemble(messages: list[dict], schemas: Mapping[str, Any] | None = None) ->
 
     for i, m in enumerate(messages):
         if m["kind"] == "call":
-            edge(m["parent"], i)
-            m["value"] = json.loads(m["content"])
-            for r in sorted(set(_references(m["value"]["arguments"]))):
+            edge(message_at[m["row"]], i)
+            m["value"], m["read"] = _read(m["content"])
+            for r in sorted(set(_references(m["value"]))):
                 if r in result_at:
                     edge(result_at[r], i)
         elif m["kind"] == "result" and m["linked"]:
@@ -344,70 +402,85 @@ def assemble(messages: list[dict], schemas: Mapping[str, Any] | None = None) ->
             if not waits[j]:
                 heapq.heappush(ready, j)
     stuck = sorted(set(range(len(messages))) - set(order))
+    cyclic = set(stuck)
     out, calls, linked = [], 0, 0
     for i in order + stuck:
         m = messages[i]
         if m["kind"] == "call":
             calls += 1
-            name, args, ident = m["value"]["name"], m["value"]["arguments"], m["id"]
-            out.append({"type": "call", "id": ident, "name": name, "arguments": args})
+            ident, name = m["id"], _read(m["name"])[0]
+            out.append(f'{{"arguments":{m["content"]},"id":{_scalar(ident)},"name":{m["name"]},"type":"call"}}')
             if m["repeat"]:
                 problems.append(f"duplicate_call:{ident}")
             elif m["linked"]:
                 linked += 1
             else:
                 problems.append(f"no_result:{ident}")
-            if name not in known:
+            if not isinstance(name, str) or name not in known:
                 problems.append(f"unknown_tool:{ident}")
+            elif not m["read"]:
+                problems.append(f"unchecked_keyword:{ident}:schema")
             else:
                 unchecked: set[str] = set()
-                problems += [f"invalid_arguments:{ident}:{p}" for p in violations(args, known[name], unchecked=unchecked)]
+                problems += [f"invalid_arguments:{ident}:{p}" for p in violations(m["value"], known[name], unchecked=unchecked)]
                 problems += [f"unchecked_keyword:{ident}:{k}" for k in sorted(unchecked)]
         elif m["kind"] == "result":
-            out.append({"type": "result", "id": m["id"], "content": json.loads(m["content"])})
+            out.append(f'{{"content":{m["content"]},"id":{_scalar(m["id"])},"type":"result"}}')
             if not m["linked"]:
                 problems.append(("duplicate_result:" if m["repeat"] else "no_call:") + m["id"])
         else:
-            out.append({"type": "message", "role": m["role"], "content": m["content"]})
-        if i in stuck and m["kind"] != "message":
+            out.append(f'{{"content":{_scalar(m["content"])},"role":{_scalar(m["role"])},"type":"message"}}')
+        if i in cyclic and m["kind"] != "message":
             problems.append(f"cycle:{m['id']}")
-    return canonical(out), sum(m["kind"] == "message" for m in messages), calls, linked, problems
+    return "[" + ",".join(out) + "]", sum(m["kind"] == "message" for m in messages), calls, linked, [_whole(p) for p in problems]
 
 
-_PARTS = "key bigint, conv_id bigint, turn bigint, role string, kind string, at bigint, id string, content string, schemas string"
+_KEY = ["none", "k1", "k2"]
+_COLUMNS = ["none", "k1", "k2", "row", "role", "kind", "at", "id", "name", "content", "schemas"]
+_PARTS = "none boolean, k1 bigint, k2 bigint, row bigint, role string, kind string, at bigint, id string, name string, content string, schemas string"
 
 
 def format_chats(conversations: DataFrame, schemas: Mapping[str, Any] | None = None) -> DataFrame:
     """(conv_id, chat, messages, calls, linked, problems), a row for each conversation."""
     c = conversations
     own = c.select(c["conv_id"].cast("bigint").alias("conv_id"), c["turn"].cast("bigint").alias("turn"), c["role"].cast("string").alias("role"), c["text"].cast("string").alias("text"))
-    own = own.dropDuplicates().withColumn("key", row_key(F.col("conv_id")))
+    r1, r2 = row_keys(F.col("turn"), F.col("role"), F.col("text"))
+    # A conversation is known by its id, or else by its one row.
+    own = own.withColumns({"none": F.col("conv_id").isNull(), "k1": F.coalesce("conv_id", r1), "k2": F.when(F.col("conv_id").isNull(), r2).otherwise(0)})
+    own = own.select(*_KEY, "turn", "role", "text").repartition(*_KEY).sortWithinPartitions(*_KEY, F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = last = None
+        row = 0
+        types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
         for batch in batches:
             rows = []
-            for key, conv, turn, role, text in zip(*(column(batch, x).to_pylist() for x in ("key", "conv_id", "turn", "role", "text"))):
+            for none, k1, k2, turn, role, text in zip(*(column(batch, x).to_pylist() for x in (*_KEY, "turn", "role", "text"))):
+                key = (none, k1, k2)
+                if key != current:
+                    current, last, row = key, None, 0
+                if last == (turn, role, text):
+                    continue
+                last, row = (turn, role, text), row + 1
                 kind, items, content, tools = _items(text)
                 if kind == "result":
-                    rows.append((key, conv, turn, role, "result", 0, items[0][0], items[0][1], None))
+                    rows.append((*key, row, role, "result", 0, *items[0], None))
                     continue
-                rows.append((key, conv, turn, role, "message", 0, None, content, canonical(tools) if tools else None))
-                rows += [(key, conv, turn, role, "call", 1 + k, i, x, None) for k, (i, x) in enumerate(items)]
-            parts = list(zip(*rows)) if rows else [()] * 9
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(p), t) for p, t in zip(parts, types)], ["key", "conv_id", "turn", "role", "kind", "at", "id", "content", "schemas"])
+                rows.append((*key, row, role, "message", 0, None, None, content, canonical(tools) if tools else None))
+                rows += [(*key, row, role, "call", 1 + k, *x, None) for k, x in enumerate(items)]
+            parts = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(p), t) for p, t in zip(parts, types)], _COLUMNS)
 
     parts = materialise(own.mapInArrow(parse, _PARTS))
-    order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.col("at"), F.col("content")]
-    ends = parts.filter("kind <> 'message'").withColumn("nth", F.row_number().over(Window.partitionBy("key", "id", "kind").orderBy(*order)))
-    calls = ends.filter("kind = 'call'").select("key", "id", F.col("nth"), F.struct("turn", "role", "at", "content").alias("call"))
-    results = ends.filter("kind = 'result'").select("key", "id", "nth", F.struct("turn", "role", "at", "content").alias("result"))
+    ends = parts.filter("kind <> 'message'").withColumn("nth", F.row_number().over(Window.partitionBy(*_KEY, "id", "kind").orderBy("row", "at")))
+    calls = ends.filter("kind = 'call' AND nth = 1").select(*_KEY, "id")
+    results = ends.filter("kind = 'result' AND nth = 1").select(*_KEY, "id")
     # Only the first call and the first result of an identifier meet; nth > 1 are repeats.
-    met = calls.filter("nth = 1").drop("nth").join(results.filter("nth = 1").drop("nth").hint("shuffle_hash"), ["key", "id"]).select("key", "id", F.lit(True).alias("linked"))
-    ends = ends.join(met.hint("shuffle_hash"), ["key", "id"], "left").withColumn("repeat", F.col("nth") > 1)
+    met = calls.join(results.hint("shuffle_hash"), [*_KEY, "id"]).withColumn("linked", F.lit(True))
+    ends = ends.join(met.hint("shuffle_hash"), [*_KEY, "id"], "left").withColumn("repeat", F.col("nth") > 1)
     ends = ends.withColumn("linked", F.coalesce("linked", F.lit(False)) & ~F.col("repeat")).drop("nth")
     plain = parts.filter("kind = 'message'").withColumns({"linked": F.lit(False), "repeat": F.lit(False)})
-    together = plain.unionByName(ends).repartition("key").sortWithinPartitions("key", *order)
+    together = plain.unionByName(ends).repartition(*_KEY).sortWithinPartitions(*_KEY, "row", "at")
     given = dict(schemas or {})
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,13 +488,9 @@ def format_chats(conversations: DataFrame, schemas: Mapping[str, Any] | None = N
         current = None
 
         def flush() -> tuple:
-            parent = None
-            for i, m in enumerate(held):
-                if m["kind"] == "message":
-                    parent = i
-                m["parent"] = parent
-                m["schemas"] = json.loads(m["schemas"]) if m["schemas"] else None
-            done = (held[0]["conv_id"], *assemble(held, given))
+            for m in held:
+                m["schemas"] = _read(m["schemas"])[0] if m["schemas"] else None
+            done = (None if held[0]["none"] else held[0]["k1"], *assemble(held, given))
             held.clear()
             return done
 
@@ -433,10 +502,11 @@ def format_chats(conversations: DataFrame, schemas: Mapping[str, Any] | None = N
         for batch in batches:
             rows = []
             for m in batch.to_pylist():
-                if m["key"] != current:
+                key = (m["none"], m["k1"], m["k2"])
+                if key != current:
                     if held:
                         rows.append(flush())
-                    current = m["key"]
+                    current = key
                 held.append(m)
             yield batch_of(rows)
         if held:

@@ -65,16 +65,21 @@ def steps(duckdb: bool = False) -> list[str]:
     return [one_a, one_b, one_b2, one_c, rules(_STEP2, _M0), rules(_STEP3, _M0), step4, five_a, five_b]
 
 
-def stem_vocabulary(words: DataFrame, word: str = "term", out: str = "stem") -> DataFrame:
-    """words with their stems in one more column; meant for distinct words.
+def stem_sql(word: str) -> str:
+    """Spark's SQL for the stem of a column.
 
     Each step is bound to w by a lambda: as a projection over the one before, its many uses of w would multiply whenever the optimizer moves a filter through all steps.
     """
-    w = f"CASE WHEN `{word}` LIKE 'y%' THEN concat('Y', substr(`{word}`, 2)) ELSE `{word}` END"
+    w = f"CASE WHEN {word} LIKE 'y%' THEN concat('Y', substr({word}, 2)) ELSE {word} END"
     last = "CASE WHEN w LIKE 'Y%' THEN concat('y', substr(w, 2)) ELSE w END"
     for step in [*steps(), last]:
         w = f"transform(array({w}), w -> {step})[0]"
-    return words.selectExpr("*", f"CASE WHEN length(`{word}`) <= 2 THEN `{word}` ELSE {w} END AS `{out}`")
+    return f"CASE WHEN length({word}) <= 2 THEN {word} ELSE {w} END"
+
+
+def stem_vocabulary(words: DataFrame, word: str = "term", out: str = "stem") -> DataFrame:
+    """words with their stems in one more column; meant for distinct words."""
+    return words.selectExpr("*", f"{stem_sql(f'`{word}`')} AS `{out}`")
 
 
 def duckdb_stems(words: str) -> str:

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import BLOCK_BITS, block_of
+
 
 def gaps(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, gap): each doc_id less the one before it in its list, the first as it is."""
-    before = F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id"))
-    return postings.select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce(before, F.lit(0))).alias("gap"))
+    """(term, doc_id, tf, gap): each doc_id less the one before it in its list, the first as it is.
+
+    Lists are walked block by block, and only the last doc_id of each block term by term, so that a frequent term is no task of its own.
+    """
+    own = postings.select("term", "doc_id", "tf", block_of())
+    ends = own.groupBy("term", "block").agg(F.max("doc_id").alias("last"))
+    ends = ends.select("term", "block", F.lag("last").over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    inside = own.withColumn("within", F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id")))
+    return inside.join(ends, ["term", "block"]).select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce("within", "before", F.lit(0))).alias("gap"))
 
 
 def from_gaps(df: DataFrame) -> DataFrame:
-    """(term, nth, doc_id) from (term, nth, gap): the running sum."""
-    return df.select("term", "nth", F.sum("gap").over(Window.partitionBy("term").orderBy("nth")).alias("doc_id"))
+    """(term, nth, doc_id) from (term, nth, gap), nth from 0: the running sum, block by block of nth."""
+    own = df.select("term", "nth", "gap", F.shiftright("nth", BLOCK_BITS).alias("block"))
+    sums = own.groupBy("term", "block").agg(F.sum("gap").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    running = own.withColumn("within", F.sum("gap").over(Window.partitionBy("term", "block").orderBy("nth")))
+    return running.join(sums.select("term", "block", before.alias("before")), ["term", "block"]).select("term", "nth", (F.col("before") + F.col("within")).alias("doc_id"))
 
 
 def varint_bytes(x: Column) -> Column:
@@ -73,3 +86,28 @@ def decode_unary(data: bytes, least: int = 0) -> list[int]:
         return []
     bits = bin(int.from_bytes(b"\1" + data, "big"))[3:]
     return [len(ones) + least for ones in bits.split("0")[:-1]]
+
+
+def compress(lists: DataFrame) -> DataFrame:
+    """(term, block, ids, tfs): blocks of postings lists, document ids as varint gaps and frequencies in unary above 1."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2).to_pylist()
+            ids = [encode_deltas(p["doc_id"] for p in x) for x in lists]
+            tfs = [encode_unary((p["tf"] for p in x), 1) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())], ["term", "block", "ids", "tfs"])
+
+    return lists.select("term", "block", "postings").mapInArrow(task, "term string, block bigint, ids binary, tfs binary")
+
+
+def decompress(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of compress()."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, i, n) for t, ids, tfs in zip(*(c.to_pylist() for c in batch.columns)) for i, n in zip(decode_deltas(ids), decode_unary(tfs, 1), strict=True)]
+            parts = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(p), t) for p, t in zip(parts, (pa.string(), pa.int64(), pa.int64()))], ["term", "doc_id", "tf"])
+
+    return blocks.select("term", "ids", "tfs").mapInArrow(task, "term string, doc_id bigint, tf bigint")

@@ -13,6 +13,24 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return totals.join(graded, "query_id", "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
+def containment(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, grade 1) of documents (doc_id, text) that contain a query's (query_id, text) whole text.
+
+    A word inside of the query's text, between white space, is such a word of each document that contains it; the longest is a key to join by before texts are compared.
+    Texts without such a word, of two words or fewer, are compared with every document.
+    """
+    words = F.split("text", r"\s+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = queries.filter("text IS NOT NULL").select("query_id", F.col("text").alias("part"), longest.alias("word"))
+    keyed = asked.filter("word IS NOT NULL")
+    there = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).join(keyed, "word").select("doc_id", "query_id", "part")
+    body = docs.select("doc_id", F.col("text").alias("body"))
+    near = there.join(body, "doc_id").filter("contains(body, part)")
+    rest = body.join(asked.filter("word IS NULL"), F.expr("contains(body, part)"))
+    return near.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id")).distinct().withColumn("grade", F.lit(1))
+
+
 def _mean_of(df: DataFrame, value, name: str) -> DataFrame:
     return df.groupBy("query_id").agg(F.round(value, 6).alias(name))
 
@@ -42,31 +60,42 @@ def average_precision(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return _mean_of(at, F.when(total > 0, gain / total).otherwise(0.0), "average_precision")
 
 
+def _ideal(qrels: DataFrame, k: int) -> DataFrame:
+    """(query_id, best): the largest gain that k documents can have."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade")))
+    return qrels.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.sum(F.col("grade") / F.log2(F.col("place") + 1)).alias("best"))
+
+
+def _within(k: int, value):
+    return F.sum(F.when(F.col("rank") < k, value).otherwise(0.0))
+
+
 def ndcg(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """(query_id, ndcg), cut at k, gain equal to grade."""
-    got = judged(run, qrels).groupBy("query_id").agg(F.sum(F.when(F.col("rank") < k, F.col("grade") / F.log2(F.col("rank") + 2)).otherwise(0.0)).alias("dcg"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade")))
-    ideal = qrels.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.sum(F.col("grade") / F.log2(F.col("place") + 1)).alias("best"))
-    both = got.join(ideal, "query_id", "left")
+    got = judged(run, qrels).groupBy("query_id").agg(_within(k, F.col("grade") / F.log2(F.col("rank") + 2)).alias("dcg"))
+    both = got.join(_ideal(qrels, k), "query_id", "left")
     return both.select("query_id", F.round(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0), 6).alias("ndcg"))
 
 
 def evaluate(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """One row of means over the judged queries: p_5, p_10, recall_1000, ndcg_cut_10, map_cut_10."""
-    parts = [
-        precision(run, qrels, 5).withColumnRenamed("precision", "p_5"),
-        precision(run, qrels, 10).withColumnRenamed("precision", "p_10"),
-        recall(run, qrels, 1000).withColumnRenamed("recall", "recall_1000"),
-        ndcg(run, qrels, 10).withColumnRenamed("ndcg", "ndcg_cut_10"),
-        average_precision(run, qrels, 10).withColumnRenamed("average_precision", "map_cut_10"),
-    ]
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = joined.join(p, "query_id")
-    return joined.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("p_5", "p_10", "recall_1000", "ndcg_cut_10", "map_cut_10")])
+    """One row of means over the judged queries: p_5, p_10, recall_1000, ndcg_cut_10, map_cut_10. Run and judgments meet once."""
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = judged(run, qrels).withColumn("hits", F.sum(_relevant()).over(w))
+    total, relevant = F.max("total"), F.col("grade") >= 1
+    share = lambda x: F.round(F.when(total > 0, x / total).otherwise(0.0), 6)
+    each = at.groupBy("query_id").agg(
+        F.round(_within(5, _relevant()) / 5, 6).alias("p_5"),
+        F.round(_within(10, _relevant()) / 10, 6).alias("p_10"),
+        share(_within(1000, _relevant())).alias("recall_1000"),
+        _within(10, F.col("grade") / F.log2(F.col("rank") + 2)).alias("dcg"),
+        share(_within(10, F.when(relevant, F.col("hits") / (F.col("rank") + 1)).otherwise(0.0))).alias("map_cut_10"),
+    )
+    gain = F.round(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0), 6).alias("ndcg_cut_10")
+    each = each.join(_ideal(qrels, 10), "query_id", "left").select("p_5", "p_10", "recall_1000", gain, "map_cut_10")
+    return each.agg(*[F.round(F.avg(c), 6).alias(c) for c in ("p_5", "p_10", "recall_1000", "ndcg_cut_10", "map_cut_10")])
 
 
 def latency(lines: DataFrame) -> DataFrame:
     """(mean_ms, stddev_ms) of the latency lines among the lines (value) of a session; the deviation is the population's."""
-    ms = lines.filter(F.col("value").startswith("#")).select((F.element_at(F.split("value", "\t"), -1).cast("double") / 1000).alias("ms"))
+    ms = lines.filter(F.col("value").rlike(r"^#\t\d")).select((F.element_at(F.split("value", "\t"), -1).cast("double") / 1000).alias("ms"))
     return ms.agg(F.round(F.avg("ms"), 3).alias("mean_ms"), F.round(F.stddev_pop("ms"), 3).alias("stddev_ms"))

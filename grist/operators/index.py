@@ -10,11 +10,13 @@ document. size is kept in postings, so that ranking needs no join with docs.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.analysis import analyze, byte_length
 from ..functions.porter import stem_vocabulary
 from ..settings import IndexSettings
@@ -80,9 +82,17 @@ def merge_stats(parts: DataFrame) -> DataFrame:
     return parts.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("adl")) / F.sum("n")).alias("adl"))
 
 
+#: A block of a postings list has the documents that agree in all but so many bits of doc_id.
+BLOCK_BITS = 10
+
+
+def block_of(doc_id: str = "doc_id") -> Column:
+    return F.shiftright(doc_id, BLOCK_BITS).alias("block")
+
+
 def postings_lists(postings: DataFrame) -> DataFrame:
-    """(term, postings): the compact form, an array of (doc_id, tf) in the order of doc_id."""
-    return postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+    """(term, block, postings): the compact form, arrays of (doc_id, tf) in the order of doc_id, none longer than a block has documents."""
+    return postings.groupBy("term", block_of()).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 def expand_postings(lists: DataFrame) -> DataFrame:
@@ -90,6 +100,18 @@ def expand_postings(lists: DataFrame) -> DataFrame:
     return lists.select("term", F.inline("postings"))
 
 
+def bucket_of(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
+
+
+_SCHEMAS = {
+    "docs": "doc_id bigint, doc_no string, size bigint",
+    "postings": "term string, doc_id bigint, tf bigint, size bigint, bucket int",
+    "lexicon": "term string, df bigint, max_tf bigint, cf bigint",
+    "stats": "n bigint, adl double",
+}
+
+
 @dataclass
 class Index:
     """An index: its tables and the settings its texts were analysed with."""
@@ -110,35 +132,49 @@ class Index:
     def write(self, path: str, segment: str | None = None) -> Index:
         """Writes the index, or one more segment of it, and returns it as read.
 
-        Postings lie sorted by term, in files of disjoint ranges of terms, so that a query reads the row groups of
-        its terms only. Lexicon and stats are partial for each segment; load() merges them.
+        Postings lie in folders by a hash of the term, and there in files for parts of the documents, each sorted by term and document, so that a query reads the folders, and the
+        row groups, of its terms only, and no list has to fit in a task. The lexicon is sorted by term. Lexicon and stats are partial for each segment; load() merges them.
+        A segment counts when its mark is written, after all its tables. Documents that share a doc_id fail the job.
         """
         name = segment or "0"
         codec = "zstd" if self.settings.compression else "uncompressed"
         spark = self.docs.sparkSession
         if segment is None:
-            _remove(spark, path)
+            storage.remove(spark, path)
         else:
             _check_settings(spark, path, self.settings)
+            storage.remove(spark, f"{path}/segments/{name}")
 
-        def put(df: DataFrame, table: str) -> DataFrame:
+        def put(df: DataFrame, table: str, *partitions: str) -> DataFrame:
             at = f"{path}/{table}/segment={name}"
-            df.write.mode("overwrite").option("compression", codec).parquet(at)
-            return spark.read.parquet(at)
+            df.write.mode("overwrite").partitionBy(*partitions).option("compression", codec).parquet(at)
+            return spark.read.schema(_SCHEMAS[table]).parquet(at)
 
-        postings = put(self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), "postings")
         docs = put(self.docs, "docs")
-        put(build_lexicon(postings), "lexicon")
+        twice = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("doc_no").alias("a"), F.max("doc_no").alias("b")).filter("n > 1").take(1)
+        if twice:
+            raise ValueError(f"documents {twice[0]['a']} and {twice[0]['b']} share the identifier {twice[0]['doc_id']}")
+        # A bucket is as many files as make up all partitions. Parts are of documents, so that frequent terms are spread; ranges would have to be sampled, and texts analysed twice.
+        parts = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / self.settings.buckets))
+        spread_out = self.postings.withColumn("bucket", bucket_of("term", self.settings.buckets))
+        spread_out = spread_out.repartition("bucket", F.pmod(F.shiftright("doc_id", BLOCK_BITS), F.lit(parts))).sortWithinPartitions("bucket", "term", "doc_id")
+        postings = put(spread_out, "postings", "bucket")
+        put(build_lexicon(postings).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
         put(build_stats(docs), "stats")
-        spark.createDataFrame([(json.dumps(asdict(self.settings)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+        storage.put(spark, f"{path}/settings.json", [json.dumps(asdict(self.settings)).encode()])
+        storage.put(spark, f"{path}/segments/{name}", [b""])
         return Index.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        """A written index; several segments answer as one."""
-        settings = IndexSettings(**json.loads(spark.read.text(f"{path}/settings").first()[0]))
-        docs, postings, lexicon, stats = (spark.read.parquet(f"{path}/{t}").drop("segment") for t in ("docs", "postings", "lexicon", "stats"))
-        return cls(docs, postings, merge_lexicons(lexicon), merge_stats(stats), settings)
+        """A written index; several segments answer as one, and those that aren't whole yet aren't read."""
+        settings = _settings(spark, path)
+        marked = storage.names(spark, f"{path}/segments")
+        read = lambda t: spark.read.schema(_SCHEMAS[t]).option("basePath", f"{path}/{t}").parquet(*(f"{path}/{t}/segment={s}" for s in marked))
+        docs, postings, lexicon, stats = map(read, ("docs", "postings", "lexicon", "stats"))
+        if len(marked) > 1:
+            lexicon, stats = merge_lexicons(lexicon), merge_stats(stats)
+        return cls(docs, postings, lexicon, stats, settings)
 
     def cache(self) -> Index:
         """Keeps what many small queries need in the executors' memory."""
@@ -146,24 +182,22 @@ class Index:
             df.cache()
         return self
 
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings that may have these terms (column term): of a written index, the folders of their buckets, at most settings.buckets."""
+        if "bucket" not in self.postings.columns:
+            return self.postings
+        there = [r[0] for r in terms.select(bucket_of("term", self.settings.buckets)).distinct().collect()]
+        return self.postings.filter(F.col("bucket").isin(there)).drop("bucket")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, at = _file_system(spark, path)
-    if fs.exists(at):
-        fs.delete(at, True)
+def _settings(spark: SparkSession, path: str) -> IndexSettings:
+    return IndexSettings(**json.loads(spark.read.option("wholetext", True).text(f"{path}/settings.json").first()[0]))
 
 
 def _check_settings(spark: SparkSession, path: str, settings: IndexSettings) -> None:
-    fs, at = _file_system(spark, f"{path}/settings")
-    if fs.exists(at):
-        was = IndexSettings(**json.loads(spark.read.text(f"{path}/settings").first()[0]))
-        if (was.stemming, was.stopwords_removal) != (settings.stemming, settings.stopwords_removal):
+    if "settings.json" in storage.names(spark, path):
+        was = _settings(spark, path)
+        if (was.stemming, was.stopwords_removal, was.buckets) != (settings.stemming, settings.stopwords_removal, settings.buckets):
             raise ValueError(f"the index was built with {was}")
 
 
@@ -171,6 +205,19 @@ def table_sizes(spark: SparkSession, path: str) -> dict[str, int]:
     """Bytes of each table of a written index."""
     out = {}
     for t in ("docs", "postings", "lexicon", "stats"):
-        fs, at = _file_system(spark, f"{path}/{t}")
+        fs, at = storage.file_system(spark, f"{path}/{t}")
         out[t] = fs.getContentSummary(at).getLength()
     return out
+
+
+def ordered(lexicon: DataFrame) -> DataFrame:
+    """(place, term, df, max_tf, cf): the dictionary in the order of its terms, place from 0.
+
+    Terms are sorted by ranges; a task numbers its own, and only the number of terms of each range is added up.
+    """
+    own = lexicon.select("term", "df", "max_tf", "cf").repartitionByRange("term").sortWithinPartitions("term")
+    own = own.withColumn("id", F.monotonically_increasing_id())  # partition << 33 | place in it
+    own = own.select("*", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("nth"))
+    sizes = own.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sizes.select("part", before.alias("before")), "part").select((F.col("before") + F.col("nth")).alias("place"), "term", "df", "max_tf", "cf")

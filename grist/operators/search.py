@@ -8,12 +8,14 @@ doc_id, so results don't depend on partitions.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import byte_length
+from ..functions.analysis import analyze, byte_length
+from ..functions.porter import stem
 from ..settings import IndexSettings, SearchSettings
 from .index import Index, build_stats, documents, spread, stem_terms, term_counts, tokens
 from .scoring import SCORERS
@@ -30,14 +32,14 @@ def lookup(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def matches(known: DataFrame, postings: DataFrame, stats: DataFrame, search: SearchSettings) -> DataFrame:
-    """(query_id, doc_id, score) of every document that a query matches."""
+    """(query_id, doc_id, score, exact) of every document that a query matches; exact is the score before it is rounded."""
     hits = known.join(postings, "term").crossJoin(F.broadcast(stats))  # stats has one row
     score = SCORERS[search.metric](*(F.col(c) for c in ("tf", "df", "size", "n", "adl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * score).alias("score"), F.count("*").alias("terms"))
     if search.conjunctive:
         needed = known.groupBy("query_id").agg(F.count("*").alias("needed"))
         scored = scored.join(needed, "query_id").filter("terms = needed")
-    return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("score").alias("exact"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
@@ -49,14 +51,19 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     return ranked.withColumn("rank", (F.col("place") - 1).cast("bigint")).drop("place")
 
 
-def search(index: Index, queries: DataFrame, settings: SearchSettings | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score) for (query_id, text), analysed as the index was."""
+def _columns(exact: bool) -> list[str]:
+    return ["query_id", "rank", "doc_id", "score"] + ["exact"] * exact
+
+
+def search(index: Index, queries: DataFrame, settings: SearchSettings | None = None, exact: bool = False) -> DataFrame:
+    """(query_id, rank, doc_id, score[, exact]) for (query_id, text), analysed as the index was. Of a written index, only the folders of the queries' terms are read."""
     settings = settings or SearchSettings()
-    known = lookup(query_terms(queries, index.settings), index.lexicon)
-    return top_k(matches(known, index.postings, index.stats, settings), settings.k).select("query_id", "rank", "doc_id", "score")
+    terms = query_terms(queries, index.settings)
+    known = lookup(terms, index.lexicon)
+    return top_k(matches(known, index.postings_of(terms), index.stats, settings), settings.k).select(*_columns(exact))
 
 
-def search_collection(collection: DataFrame, queries: DataFrame, settings: SearchSettings | None = None, index: IndexSettings | None = None) -> DataFrame:
+def search_collection(collection: DataFrame, queries: DataFrame, settings: SearchSettings | None = None, index: IndexSettings | None = None, exact: bool = False) -> DataFrame:
     """search() over (doc_id, doc_no, content) without an index: only tokens that some query has are counted and shuffled."""
     settings, index = settings or SearchSettings(), index or IndexSettings()
     terms = query_terms(queries, index)
@@ -70,26 +77,36 @@ def search_collection(collection: DataFrame, queries: DataFrame, settings: Searc
         counted = every.join(wanted, "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
     # A count that needs tf leaves both uses of counted with the same shuffle, so texts are analysed once.
     known = lookup(terms, counted.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("bigint")).alias("df")))
-    return top_k(matches(known, counted, build_stats(documents(collection)), settings), settings.k).select("query_id", "rank", "doc_id", "score")
+    return top_k(matches(known, counted, build_stats(documents(collection)), settings), settings.k).select(*_columns(exact))
+
 
+def terms_of(spark: SparkSession, text: str, settings: IndexSettings) -> Counter[str]:
+    """The terms of one text and how often they are there; analysed on the driver, without a job."""
+    local = spark.sql("SELECT * FROM VALUES (:text) AS q(text)", args={"text": text}).select(analyze(F.col("text"), settings.stopwords_removal).alias("t"))
+    words = local.first()["t"]
+    return Counter(map(stem, words) if settings.stemming else words)
 
-def search_one(index: Index, text: str, settings: SearchSettings | None = None) -> DataFrame:
-    """(rank, doc_id, score) of one query. Its terms are literals, so the scan of postings skips row groups without them."""
+
+def search_one(index: Index, text: str, settings: SearchSettings | None = None, exact: bool = False) -> DataFrame:
+    """(rank, doc_id, score[, exact]) of one query. Its terms are literals, so the scan of postings skips folders and row groups without them."""
     settings = settings or SearchSettings()
-    spark = index.docs.sparkSession
-    terms = query_terms(spark.createDataFrame([(0, text)], "query_id bigint, text string"), index.settings)
-    rows = terms.collect()  # as many as one query has words
-    words = sorted({r["term"] for r in rows})
-    terms = spark.createDataFrame([(r["query_id"], r["term"], r["qtf"]) for r in rows], "query_id bigint, term string, qtf bigint")
-    known = lookup(terms, index.lexicon.filter(F.col("term").isin(words)))
-    scored = matches(known, index.postings.filter(F.col("term").isin(words)), index.stats, settings)
+    asked = terms_of(index.docs.sparkSession, text, index.settings)
+    words = sorted(asked)
+    times = F.create_map(*(F.lit(x) for w in words for x in (w, asked[w]))) if words else F.create_map().cast("map<string,int>")
+    known = index.lexicon.filter(F.col("term").isin(words)).select(F.lit(0).cast("bigint").alias("query_id"), "term", F.element_at(times, F.col("term")).alias("qtf"), "df")
+    postings = index.postings.filter(F.col("term").isin(words))
+    if "bucket" in postings.columns:
+        one = index.docs.sparkSession.sql("SELECT transform(:words, w -> pmod(xxhash64(w), :n)) AS b", args={"words": words or [""], "n": index.settings.buckets})
+        postings = postings.filter(F.col("bucket").isin(one.first()["b"])).drop("bucket")
+    scored = matches(F.broadcast(known), postings, index.stats, settings)  # as many rows as the query has words
     ordered = scored.orderBy(F.desc("score"), "doc_id")
     best = ordered.limit(settings.k) if settings.k else ordered
-    return best.select((F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).cast("bigint").alias("rank"), "doc_id", "score")
+    rank = (F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).cast("bigint").alias("rank")
+    return best.select(rank, *_columns(exact)[2:])
 
 
-def run_line(rank: str = "rank", score: str = "score", query: str = "query_id", doc_no: str = "doc_no") -> Column:
-    """A line of a TREC run file."""
+def run_line(rank: str = "rank", score: str = "exact", query: str = "query_id", doc_no: str = "doc_no") -> Column:
+    """A line of a TREC run file; the score is printed from its unrounded value."""
     return F.format_string("%d\tQ0\t%s\t%d\t%.4f\tRANDOMID", F.col(query), F.col(doc_no), F.col(rank), F.col(score))
 
 
@@ -99,15 +116,20 @@ def with_numbers(results: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def write_run(results: DataFrame, docs: DataFrame, path: str) -> None:
-    """results as a run file, in the order of query and rank."""
+    """results (with exact) as a run file, in the order of query and rank."""
     lines = with_numbers(results, docs).orderBy("query_id", "rank").select(run_line().alias("value"))
     lines.write.mode("overwrite").text(path)
 
 
+def took_line(query_id: int | str, seconds: float) -> str:
+    """A latency line; "all" stands for a batch of queries."""
+    micros = int(seconds * 1e6)
+    return f"#\t{query_id}\t{micros / 1000:.3f}ms\t{micros}"
+
+
 def answer(index: Index, queries: Iterable[tuple[int, str]], settings: SearchSettings | None = None) -> Iterator[tuple[list[str], str]]:
     """(run lines, latency line) for one query after the other, as an interactive session asks them."""
     for query_id, text in queries:
         start = time.perf_counter()
-        rows = with_numbers(search_one(index, text, settings).withColumn("query_id", F.lit(query_id)), index.docs).orderBy("rank").select(run_line()).collect()
-        micros = int((time.perf_counter() - start) * 1e6)
-        yield [r[0] for r in rows], f"#\t{query_id}\t{micros / 1000:.3f}ms\t{micros}"
+        rows = with_numbers(search_one(index, text, settings, exact=True).withColumn("query_id", F.lit(query_id)), index.docs).orderBy("rank").select(run_line()).collect()
+        yield [r[0] for r in rows], took_line(query_id, time.perf_counter() - start)

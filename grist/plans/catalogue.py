@@ -8,16 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.analysis import analyze, byte_length, clean, lower
 from ..functions.porter import duckdb_stems
+from ..functions.sql import register
 from ..functions.stopwords import STOPWORDS
 from ..operators import codecs, evaluation, index, search
 from ..operators.scoring import B, K1
 from ..settings import IndexSettings, SearchSettings
+from ..sources import readers
 from ..sources.readers import collection
+from ..streaming import incremental
 
 PLAIN = IndexSettings(stopwords_removal=False, stemming=False)
 STOPPED = IndexSettings(stopwords_removal=True, stemming=False)
@@ -88,12 +92,11 @@ def _search(score: str, k: int = 10, conjunctive: bool = False, settings: IndexS
     return f"""WITH {_index(settings, **tables)}, {asked_sql},
         known AS (SELECT query_id, term, df FROM qt JOIN lex USING (term)),
         need AS (SELECT query_id, count(DISTINCT term) AS needed FROM known GROUP BY query_id),
-        hit AS (SELECT query_id, doc_id, round(sum({score}), 6) AS score FROM known JOIN need USING (query_id) JOIN post USING (term) JOIN d USING (doc_id) CROSS JOIN st GROUP BY query_id, doc_id {having}),
-        res AS (SELECT query_id, place - 1 AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM hit) {cut})"""
+        hit AS (SELECT query_id, doc_id, round(sum({score}), 6) AS score, sum({score}) AS exact FROM known JOIN need USING (query_id) JOIN post USING (term) JOIN d USING (doc_id) CROSS JOIN st GROUP BY query_id, doc_id {having}),
+        res AS (SELECT query_id, place - 1 AS rank, doc_id, score, exact FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM hit) {cut})"""
 
 
 _RES = " SELECT query_id, rank, doc_id, score FROM res"
-_SHORT = "SELECT item_id AS query_id, array_to_string(list_slice(list_filter(regexp_split_to_array(" + _clean("text") + ", '[ \\t\\n]+'), lambda t: t <> ''), 1, 3), ' ') AS text FROM benchmark"
 
 
 # --- inputs ------------------------------------------------------------------------------------------------------
@@ -111,15 +114,8 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three tokens of each query; the conjunctive queries with whole in their names run on all of them."""
-    first = F.array_join(F.slice(analyze(F.col("text")), 1, 3), " ")
-    return _queries(spark, sf_dir).select("query_id", first.alias("text"))
-
-
-def _found(spark: SparkSession, sf_dir: str, metric: str = "BM25", k: int = 10, conjunctive: bool = False, settings: IndexSettings = PLAIN, short: bool = False) -> DataFrame:
-    queries = (_short_queries if short else _queries)(spark, sf_dir)
-    return search.search_collection(_docs(spark, sf_dir), queries, SearchSettings(k, metric, conjunctive), settings)
+def _found(spark: SparkSession, sf_dir: str, metric: str = "BM25", k: int = 10, conjunctive: bool = False, settings: IndexSettings = PLAIN, exact: bool = False) -> DataFrame:
+    return search.search_collection(_docs(spark, sf_dir), _queries(spark, sf_dir), SearchSettings(k, metric, conjunctive), settings, exact)
 
 
 # --- analysis ----------------------------------------------------------------------------------------------------
@@ -204,11 +200,11 @@ def stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.merge_stats(parts).withColumn("adl", F.round("adl", 6))
 
 
-@query(f"WITH {_index()} SELECT term, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM post GROUP BY term")
+@query(f"WITH {_index()} SELECT term, doc_id >> {index.BLOCK_BITS} AS block, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM post GROUP BY ALL")
 def postings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = index.postings_lists(index.build_postings(_docs(spark, sf_dir), PLAIN))
     joined = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["tf"])), " ")
-    return lists.select("term", joined.alias("postings"))
+    return lists.select("term", "block", joined.alias("postings"))
 
 
 @query(f"WITH {_index()} SELECT term, doc_id, tf FROM post")
@@ -241,23 +237,13 @@ def tfidf_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "TFIDF")
 
 
-@query(_search(_BM25, conjunctive=True, asked=_SHORT) + _RES)
-def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, conjunctive=True, short=True)
-
-
-@query(_search(_TFIDF, conjunctive=True, asked=_SHORT) + _RES)
-def tfidf_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, "TFIDF", conjunctive=True, short=True)
-
-
 @query(_search(_BM25, conjunctive=True) + _RES)
-def bm25_and_whole_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, conjunctive=True)
 
 
 @query(_search(_TFIDF, conjunctive=True) + _RES)
-def tfidf_and_whole_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "TFIDF", conjunctive=True)
 
 
@@ -287,13 +273,8 @@ def repeated_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_collection(_docs(spark, sf_dir), twice, SearchSettings(), PLAIN)
 
 
-@query(_search(_BM25, k=0, conjunctive=True, asked=_SHORT) + _RES)
-def unbounded_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, k=0, conjunctive=True, short=True)
-
-
 @query(_search(_BM25, k=0, conjunctive=True) + _RES)
-def unbounded_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unbounded_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, k=0, conjunctive=True)
 
 
@@ -314,9 +295,9 @@ def single_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_one(index.Index.of(_docs(spark, sf_dir), PLAIN), LITERAL, SearchSettings())
 
 
-@query(_search(_BM25) + " SELECT printf('%d\tQ0\t%s\t%d\t%.4f\tRANDOMID', query_id, CAST(doc_id AS VARCHAR), rank, score) AS line FROM res")
+@query(_search(_BM25) + " SELECT printf('%d\tQ0\t%s\t%d\t%.4f\tRANDOMID', query_id, CAST(doc_id AS VARCHAR), rank, exact) AS line FROM res")
 def trec_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _found(spark, sf_dir).withColumn("doc_no", F.col("doc_id").cast("string"))
+    found = _found(spark, sf_dir, exact=True).withColumn("doc_no", F.col("doc_id").cast("string"))
     return found.select(search.run_line().alias("line"))
 
 
@@ -369,9 +350,7 @@ _JUDGED = """, rel AS (SELECT b.item_id AS query_id, doc_id FROM benchmark b JOI
 
 
 def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = _table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    pairs = docs.select("doc_id", F.col("text").alias("body")).join(asked, F.expr("contains(body, text)"))
-    return pairs.select("query_id", "doc_id", F.lit(1).alias("grade"))
+    return evaluation.containment(_table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir))
 
 
 @query(_search(_BM25) + _JUDGED + " SELECT query_id, round(sum(CASE WHEN rank < 10 THEN grade ELSE 0 END) / 10, 6) AS precision FROM g GROUP BY query_id")
@@ -416,3 +395,250 @@ def eval_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evaluate(_found(spark, sf_dir, k=1000), _judgments(spark, sf_dir))
+
+
+@query(
+    _search(_BM25)
+    + _JUDGED.replace("SELECT b.item_id AS query_id, doc_id FROM", "SELECT b.item_id AS query_id, doc_id, 1 + length(documents.text) % 3 AS given FROM").replace("THEN 0 ELSE 1 END AS grade", "THEN 0 ELSE given END AS grade")
+    + ", ideal AS (SELECT query_id, sum(given / log2(place + 1)) AS best FROM (SELECT query_id, given, row_number() OVER (PARTITION BY query_id ORDER BY given DESC) AS place FROM rel) WHERE place <= 10 GROUP BY query_id)"
+    + " SELECT query_id, round(sum(CASE WHEN rank < 10 THEN grade / log2(rank + 2) ELSE 0 END) / max(best), 6) AS ndcg FROM g JOIN ideal USING (query_id) GROUP BY query_id"
+)
+def eval_graded_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of 1 to 3, by the length of the document."""
+    graded = _judgments(spark, sf_dir).drop("grade").join(_table(spark, sf_dir, "documents").select("doc_id", (1 + F.length("text") % 3).alias("grade")), "doc_id")
+    return evaluation.ndcg(_found(spark, sf_dir), graded, 10)
+
+
+# --- the stored index, files and streams --------------------------------------------------------------------------
+
+_BUILT: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, make: Callable[[str], object], *key: object):
+    """What make(folder) gives, made once a session and kept in the shared folder until the driver ends."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _BUILT:
+        _BUILT[key] = make(storage.new_folder(spark))
+    return _BUILT[key]
+
+
+def _stored(spark: SparkSession, sf_dir: str, settings: IndexSettings = PLAIN, segments: int = 1) -> index.Index:
+    """The documents, written as an index of so many segments and loaded from there."""
+
+    def make(at: str) -> str:
+        docs = _docs(spark, sf_dir)
+        for k in range(segments):
+            part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(segments)) == k) if segments > 1 else docs
+            index.Index.of(part, settings).write(f"{at}/index", f"s{k}")
+        return f"{at}/index"
+
+    return index.Index.load(spark, _once(spark, make, "index", sf_dir, settings, segments))
+
+
+_LINE = r"trim(regexp_replace({0}, '[\t\n\r ]+', ' ', 'g'))"
+_FILED = "f AS (SELECT doc_id, " + _LINE.format("text") + " AS text FROM documents), "
+
+
+def _line(text: str) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\t\n\r ]+", " "))
+
+
+def _passage_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of passages, a line each."""
+
+    def make(at: str) -> str:
+        lines = _table(spark, sf_dir, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), _line("text")).alias("value"))
+        lines.repartition(3).write.text(f"{at}/passages")
+        return f"{at}/passages"
+
+    return _once(spark, make, "passages", sf_dir)
+
+
+def _query_files(spark: SparkSession, sf_dir: str) -> str:
+    def make(at: str) -> str:
+        lines = _queries(spark, sf_dir).select(F.concat_ws("\t", F.col("query_id").cast("string"), _line("text"), F.lit("further field")).alias("value"))
+        lines.coalesce(1).write.text(f"{at}/queries")
+        return f"{at}/queries"
+
+    return _once(spark, make, "queries", sf_dir)
+
+
+@query(_search(_BM25) + _RES)
+def stored_bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir), _queries(spark, sf_dir))
+
+
+@query(_search(_TFIDF, k=1000) + _RES)
+def stored_tfidf_or_top1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir), _queries(spark, sf_dir), SearchSettings(1000, "TFIDF"))
+
+
+@query(_search(_BM25, conjunctive=True) + _RES)
+def stored_bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir), _queries(spark, sf_dir), SearchSettings(conjunctive=True))
+
+
+@query(_search(_BM25, settings=FULL) + _RES)
+def stored_full_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir, FULL), _queries(spark, sf_dir))
+
+
+@query(_search(_BM25, asked=f"SELECT 0 AS query_id, '{LITERAL}' AS text") + " SELECT rank, doc_id, score FROM res")
+def stored_single_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_one(_stored(spark, sf_dir), LITERAL)
+
+
+@query(_search(_BM25, settings=FULL, asked=f"SELECT 0 AS query_id, '{LITERAL}' AS text") + " SELECT rank, doc_id, score FROM res")
+def stored_single_query_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_one(_stored(spark, sf_dir, FULL), LITERAL)
+
+
+@query(_search(_BM25) + _RES)
+def stored_uncompressed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir, IndexSettings(stopwords_removal=False, stemming=False, compression=False, buckets=5)), _queries(spark, sf_dir))
+
+
+@query(_search(_BM25) + _RES)
+def segmented_search_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir, segments=2), _queries(spark, sf_dir))
+
+
+@query(_search(_TFIDF, conjunctive=True, k=0) + _RES)
+def segmented_search_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_stored(spark, sf_dir, segments=5), _queries(spark, sf_dir), SearchSettings(0, "TFIDF", True))
+
+
+@query(f"WITH {_index()} SELECT term, df, max_tf, cf FROM lex")
+def segmented_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, segments=5).lexicon
+
+
+@query(f"WITH {_index()} SELECT n, round(adl, 6) AS adl FROM st")
+def segmented_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, segments=5).stats.withColumn("adl", F.round("adl", 6))
+
+
+@query(f"WITH {_index()} SELECT post.term, doc_id, tf, size FROM post JOIN d USING (doc_id)")
+def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two segments, merged to one index."""
+
+    def make(at: str) -> str:
+        _stored(spark, sf_dir, segments=2)
+        incremental.merge_segments(spark, _BUILT[spark.sparkContext.applicationId, "index", sf_dir, PLAIN, 2], f"{at}/merged")
+        return f"{at}/merged"
+
+    return index.Index.load(spark, _once(spark, make, "merged", sf_dir)).postings.select("term", "doc_id", "tf", "size")
+
+
+@query(f"WITH {_index()} SELECT doc_id, CAST(doc_id AS VARCHAR) AS doc_no, size FROM d")
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, segments=2).docs.select("doc_id", "doc_no", "size")
+
+
+@query(_search(_BM25) + " SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS doc_no FROM res")
+def run_with_doc_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _stored(spark, sf_dir)
+    return search.with_numbers(search.search(built, _queries(spark, sf_dir)), built.docs).select("query_id", "rank", "doc_no")
+
+
+@query(f"WITH {_index()} SELECT row_number() OVER (ORDER BY term) - 1 AS place, term, df, max_tf, cf FROM lex")
+def ordered_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.ordered(_stored(spark, sf_dir).lexicon)
+
+
+@query("WITH " + _FILED + _search(_BM25, table="f").removeprefix("WITH ") + _RES)
+def passage_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and queries from files."""
+    docs = readers.numbered(readers.passages(spark, _passage_files(spark, sf_dir)))
+    return search.search_collection(docs, readers.query_file(spark, _query_files(spark, sf_dir)), SearchSettings(), PLAIN)
+
+
+@query("WITH " + _FILED + f"{_index(table='f')} SELECT CAST(doc_id AS VARCHAR) AS doc_no, size, CAST((SELECT coalesce(sum(tf), 0) FROM post WHERE post.doc_id = d.doc_id) AS BIGINT) AS tokens FROM d")
+def passage_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = readers.numbered(readers.passages(spark, _passage_files(spark, sf_dir), strict=False))
+    return docs.select("doc_no", byte_length(F.col("content")).alias("size"), F.size(analyze(F.col("content"))).cast("bigint").alias("tokens"))
+
+
+@query("SELECT item_id AS query_id, " + _LINE.format("text") + " AS text FROM benchmark")
+def query_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.query_file(spark, _query_files(spark, sf_dir))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    def make(at: str) -> str:
+        stream = readers.passage_stream(spark, _passage_files(spark, sf_dir))
+        incremental.index_stream(stream, f"{at}/index", f"{at}/checkpoint", PLAIN).awaitTermination()
+        return f"{at}/index"
+
+    return _once(spark, make, "streamed", sf_dir)
+
+
+@query("WITH " + _FILED + _search(_BM25, table="f").removeprefix("WITH ") + _RES)
+def streamed_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that grew by a segment a micro-batch."""
+    return search.search(index.Index.load(spark, _streamed(spark, sf_dir)), _queries(spark, sf_dir))
+
+
+@query("WITH " + _FILED + _search(_BM25, table="f").removeprefix("WITH ") + " SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS doc_no, score FROM res")
+def streamed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that come as a stream."""
+
+    def make(at: str) -> str:
+        asked = spark.readStream.schema("value string").text(_query_files(spark, sf_dir)).select(F.split("value", "\t").alias("p")).selectExpr("cast(p[0] AS bigint) AS query_id", "p[1] AS text")
+        incremental.search_stream(asked, index.Index.load(spark, _streamed(spark, sf_dir)), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+        return f"{at}/out"
+
+    return spark.read.parquet(_once(spark, make, "answers", sf_dir)).select("query_id", "rank", "doc_no", "score")
+
+
+@query(f"WITH {_index()} SELECT term, doc_id FROM post")
+def gaps_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = (F.row_number().over(Window.partitionBy("term").orderBy("doc_id")) - 1).cast("bigint").alias("nth")
+    listed = codecs.gaps(index.build_postings(_docs(spark, sf_dir), PLAIN)).select("term", nth, "gap")
+    return codecs.from_gaps(listed).select("term", "doc_id")
+
+
+@query(f"WITH {_index()} SELECT term, doc_id, tf FROM post")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists written as varint gaps and unary frequencies, and read again."""
+    return codecs.decompress(codecs.compress(index.postings_lists(index.build_postings(_docs(spark, sf_dir), PLAIN))))
+
+
+@query(_search(_BM25, k=0) + _RES)
+def bm25_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, k=0)
+
+
+@query("SELECT round(avg(length(text) * 37 / 1000), 3) AS mean_ms, round(stddev_pop(length(text) * 37 / 1000), 3) AS stddev_ms FROM benchmark")
+def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the lines of a session, as if a query took 37 microseconds for each of its characters."""
+    took = F.length("text") * 37
+    lines = _queries(spark, sf_dir).select(F.explode(F.array(F.format_string("%d\tQ0\tD1\t0\t1.0000\tRANDOMID", "query_id"), F.format_string("#\t%d\t%sms\t%d", F.col("query_id"), took / 1000, took))).alias("value"))
+    return evaluation.latency(lines)
+
+
+@query(ORACLE_SQL["eval_summary"])
+def eval_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run and judgments, written as files and measured from there."""
+
+    def make(at: str) -> str:
+        built = _stored(spark, sf_dir)
+        search.write_run(search.search(built, _queries(spark, sf_dir), SearchSettings(1000), exact=True), built.docs, f"{at}/run")
+        _judgments(spark, sf_dir).select(F.concat_ws(" ", "query_id", F.lit("0"), "doc_id", "grade").alias("value")).coalesce(1).write.text(f"{at}/qrels")
+        return at
+
+    at = _once(spark, make, "run", sf_dir)
+    return evaluation.evaluate(readers.run_file(spark, f"{at}/run"), readers.qrels_file(spark, f"{at}/qrels"))
+
+
+@query(ORACLE_SQL["stemmed_vocabulary"])
+def porter_stem_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    words = _table(spark, sf_dir, "documents").select(F.explode(analyze(F.col("text"))).alias("term")).distinct()
+    return words.selectExpr("term", "porter_stem(term) AS stem")
+
+
+@query(ORACLE_SQL["token_counts"])
+def tokenize_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    return spark.sql("SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM {docs}, LATERAL tokenize(text, false) GROUP BY doc_id", docs=_table(spark, sf_dir, "documents"))

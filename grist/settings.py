@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """How texts were analysed; kept with the index, and used for its queries too."""
+    """How texts were analysed; kept with the index, and used for its queries too. buckets: folders that postings are spread over, by a hash of the term."""
 
     stopwords_removal: bool = True
     stemming: bool = True
     compression: bool = True
-    version: int = 1
+    version: int = 2
+    buckets: int = 16
 
 
 @dataclass(frozen=True)

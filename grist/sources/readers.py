@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 from collections.abc import Iterable, Iterator
 from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.analysis import trim_space
 
 
@@ -45,8 +45,14 @@ def collection(df: DataFrame, doc_id: str = "doc_id", content: str = "text", doc
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """passages() with doc_id: the number itself where it is one, else a hash of it."""
-    return df.select(F.coalesce(F.expr("try_cast(doc_no AS bigint)"), F.xxhash64("doc_no")).alias("doc_id"), "doc_no", "content")
+    """passages() with doc_id: the number itself where doc_no is one as it is usually written, else a hash of doc_no, which is negative.
+
+    So "7" and "007" are two documents. That all identifiers differ is checked when the index is written.
+    """
+    number = F.expr("try_cast(doc_no AS bigint)")
+    own = (number >= 0) & (number.cast("string") == F.col("doc_no"))
+    hashed = F.xxhash64("doc_no").bitwiseOR(F.lit(-(2**63)))
+    return df.select(F.when(own, number).otherwise(hashed).alias("doc_id"), "doc_no", "content")
 
 
 def query_file(spark: SparkSession, path: str) -> DataFrame:
@@ -77,12 +83,9 @@ def interactive(lines: Iterable[str], prompt: IO[str] | None = None) -> Iterator
         i += 1
 
 
-def spool(stream: IO[bytes]) -> str:
-    """Standard input as a file, for readers that need one."""
-    with tempfile.NamedTemporaryFile(prefix="grist-", suffix=".tsv", delete=False) as f:
-        while block := stream.read(1 << 20):
-            f.write(block)
-    return f.name
+def spool(spark: SparkSession, stream: IO[bytes]) -> str:
+    """Standard input as a file in the shared folder, for readers that need one; the caller removes it."""
+    return storage.put(spark, f"{storage.new_folder(spark)}/stdin.tsv", iter(lambda: stream.read(1 << 20), b""))
 
 
 def check_file(path: str) -> str:

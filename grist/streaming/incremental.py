@@ -37,4 +37,5 @@ def merge_segments(spark: SparkSession, path: str, to: str) -> Index:
     """The index at path, of any number of segments, written as one to another place."""
     if path.rstrip("/") == to.rstrip("/"):
         raise ValueError("segments can't be merged in place")
-    return Index.load(spark, path).write(to)
+    parts = Index.load(spark, path)
+    return Index(parts.docs, parts.postings.drop("bucket"), parts.lexicon, parts.stats, parts.settings).write(to)

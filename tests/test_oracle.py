@@ -21,5 +21,5 @@ def test_conjunctive_search_of_whole_texts(spark):
     """Every document that contains a whole benchmark text is found for it."""
     at = SF.replace("sf0.001", "sf0.01")
     held = {(r["query_id"], r["doc_id"]) for r in catalogue._judgments(spark, at).collect()}
-    got = {(r["query_id"], r["doc_id"]) for r in catalogue.QUERIES["unbounded_k_whole"](spark, at).collect()}
+    got = {(r["query_id"], r["doc_id"]) for r in catalogue.QUERIES["unbounded_k"](spark, at).collect()}
     assert len(held) == 26 and held <= got

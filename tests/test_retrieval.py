@@ -1,13 +1,15 @@
+import io
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from grist import cli
+from grist import cli, storage
 from grist.functions.analysis import analyze, byte_length
 from grist.functions.porter import stem, stem_vocabulary
+from grist.functions.sql import plain_tokens, register
 from grist.operators import codecs, evaluation
-from grist.operators.index import Index
+from grist.operators.index import Index, ordered
 from grist.operators.scoring import parse_metric
 from grist.operators.search import run_line, search, search_collection, search_one
 from grist.settings import IndexSettings, SearchSettings
@@ -75,6 +77,25 @@ def test_porter_published_examples(spark):
     assert df.filter("stem = 'run'").count() == 1  # a filter passes through all steps
 
 
+def test_porter_of_the_whole_vocabulary(spark):
+    """The rules as SQL against the rules as Python, which measures words letter by letter."""
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.explode(analyze(F.col("text"))).alias("term")).distinct()
+    odd = spark.createDataFrame([(w,) for w in ("yyy", "yed", "ying", "bed", "sses", "eed", "ion", "tion", "sion", "llll", "aeiou", "happyyy", "ate", "ational", "fulness", "é", "élan", "42nd", "s", "ss")], "term string")
+    assert [r for r in stem_vocabulary(words.union(odd)).collect() if stem(r["term"]) != r["stem"]] == []
+
+
+def test_functions_of_sql(spark):
+    register(spark)
+    assert spark.sql("SELECT porter_stem('running'), porter_stem('yes')").first() == ("run", "ye")
+    texts = ["Don't STOP!", "Crème <b>x</b> \u00ad soft\u00adhyphen", "ΣΑΣ İstanbul ©\U0001f600 5+3", "", "a\r b\tc\nd\x0be", "ǅ ﬁ Å"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = {r["i"]: r["x"] for r in df.select("i", analyze(F.col("t")).alias("x")).collect()}
+    assert {i: plain_tokens(t) for i, t in enumerate(texts)} == want
+    got = spark.sql("SELECT i, array_agg(term) AS x FROM {df}, LATERAL tokenize(t, true) GROUP BY i", df=df)
+    stopped = df.select("i", analyze(F.col("t"), True).alias("x")).filter("size(x) > 0")
+    assert {r["i"]: sorted(r["x"]) for r in got.collect()} == {r["i"]: sorted(r["x"]) for r in stopped.collect()}
+
+
 def test_index_tables(spark):
     index = Index.of(frame(spark), PLAIN)
     words = {r["term"]: (r["df"], r["max_tf"], r["cf"]) for r in index.lexicon.collect()}
@@ -140,6 +161,43 @@ def test_written_index_of_any_number_of_segments(spark, tmp_path, segments):
         Index.of(frame(spark), IndexSettings(True, True)).write(at, "other")
 
 
+def test_written_tables(spark, tmp_path):
+    at = str(tmp_path / "index")
+    index = Index.of(frame(spark), PLAIN).write(at)
+    terms = [r["term"] for r in ordered(index.lexicon).orderBy("place").collect()]
+    assert terms == sorted(terms) and len(terms) == index.lexicon.count()
+    plan = index.postings_of(spark.createDataFrame([("dog",)], "term string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:120]
+    one = search_one(index, "dog")._jdf.queryExecution().toString()
+    assert "bucket" in one.split("PartitionFilters")[1][:120] and "In(term" in one or "EqualTo(term,dog)" in one
+    storage.remove(spark, f"{at}/segments/0")  # a segment without its mark isn't there yet
+    Index.of(frame(spark, DOCS[:2]), PLAIN).write(at, "b")
+    assert Index.load(spark, at).stats.first()["n"] == 2
+    with pytest.raises(ValueError, match="share"):
+        Index.of(frame(spark, [(1, "a"), (1, "b")]), PLAIN).write(str(tmp_path / "twice"))
+
+
+def test_numbers_are_names(spark):
+    df = spark.createDataFrame([(n, "x") for n in ("7", "007", "-7", "D7", "9223372036854775807", "9223372036854775808")], "doc_no string, content string")
+    ids = [r["doc_id"] for r in readers.numbered(df).collect()]
+    assert ids[0] == 7 and ids[4] == 2**63 - 1 and len(set(ids)) == 6 and all(ids[k] < 0 for k in (1, 2, 3, 5))
+
+
+def test_containment(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "zone two threefold"), (3, "two  three"), (4, None)], "doc_id bigint, text string")
+    queries = ["ne two three", "two", "two three", "", "one two three four", "o  three"]
+    got = {(r["query_id"], r["doc_id"]) for r in evaluation.containment(docs, asked(spark, *queries)).collect()}
+    assert got == {(q, r["doc_id"]) for q, t in enumerate(queries) for r in docs.collect() if r["text"] is not None and t in r["text"]}
+
+
+def test_gaps_over_blocks(spark):
+    rows = [("a", i, 1) for i in (3, 1023, 1024, 5000, 5001, 900_000)] + [("b", 2048, 2)]
+    got = codecs.gaps(spark.createDataFrame(rows, "term string, doc_id bigint, tf bigint")).orderBy("term", "doc_id").collect()
+    assert [r["gap"] for r in got] == [3, 1020, 1, 3976, 1, 894_999, 2048]
+    nth = spark.createDataFrame([("a", k, 2) for k in range(3000)], "term string, nth bigint, gap bigint")
+    assert codecs.from_gaps(nth).filter("doc_id <> 2 * (nth + 1)").count() == 0
+
+
 def test_codecs():
     for values in ([], [0], [3, 4, 200, 70000], [1 << 40]):
         assert codecs.decode_deltas(codecs.encode_deltas(values)) == values
@@ -191,7 +249,8 @@ def test_settings():
 
 
 def test_run_line(spark):
-    df = spark.createDataFrame([(3, "D7", 0, 1.23456)], "query_id bigint, doc_no string, rank bigint, score double")
+    df = spark.createDataFrame([(3, "D7", 0, 1.23456), (3, "D7", 0, 5.766849999)], "query_id bigint, doc_no string, rank bigint, exact double")
+    assert [r[0].split("\t")[4] for r in df.select(run_line()).collect()] == ["1.2346", "5.7668"]  # not of the score of six places, 5.766850
     assert df.select(run_line()).first()[0] == "3\tQ0\tD7\t0\t1.2346\tRANDOMID"
 
 
@@ -208,7 +267,7 @@ def test_stream(spark, tmp_path):
     assert {r["doc_no"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"0", "1"}
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "p.tsv").write_text("".join(f"{i}\t{t}\n" for i, t in DOCS))
     at = str(tmp_path / "index")
     cli.main(["index", str(tmp_path / "p.tsv"), "-o", at, "--no-stopwords", "-w", "2"], spark)
@@ -218,8 +277,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert [x.split("\t")[2] for x in lines[:-1]] == ["0", "1"] and lines[-1].startswith("#\t0\t")
     (tmp_path / "q.tsv").write_text("5\tdog\n")
     cli.main(["search", "-x", at, "-f", str(tmp_path / "q.tsv"), "-o", str(tmp_path / "run")], spark)
+    assert capsys.readouterr().out.startswith("#\tall\t")
+    cli.main(["search", "-x", at, "-f", str(tmp_path / "q.tsv"), "--each"], spark)
+    assert capsys.readouterr().out.splitlines()[-1].startswith("#\t5\t")
     (tmp_path / "qrels").write_text("5 0 0 1\n")
     cli.main(["eval", str(tmp_path / "run"), str(tmp_path / "qrels")], spark)
     assert "p_5\tall\t0.2000" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["search", "-x", at, "-q", "a", "-i"], spark)
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"1\tfrom standard input\n")))
+    cli.main(["index", "-o", at, "--chunk", "10", "--max-memory", "5"], spark)
+    assert Index.load(spark, at).stats.first()["n"] == 1

@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 from pathlib import Path
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, remove
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: A side is broadcast up to this many bytes (rows times the width of a row); beyond it the join shuffles.
@@ -44,35 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session (tests) gets a temporary one, a cluster an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="grist-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 #: The folders that materialise() wrote inside the innermost scratch().
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def _path(spark: SparkSession, at: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A name in the shared folder; what is written there is deleted when the driver ends, if not before."""
-    at = f"{shared_dir(spark)}/grist-{uuid.uuid4().hex}"
-    fs, path = _path(spark, at)
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return at
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -88,8 +63,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing to come reads."""
     for df in tables:
-        fs, path = _path(df.sparkSession, df._grist_folder)
-        fs.delete(path, True)
+        remove(df.sparkSession, df._grist_folder)
 
 
 @contextlib.contextmanager
@@ -107,8 +81,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         for at in _WRITTEN.get() or ():
             if at not in kept:
-                fs, path = _path(spark, at)
-                fs.delete(path, True)
+                remove(spark, at)
         _WRITTEN.reset(token)
 
 

@@ -41,7 +41,7 @@ def folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def lower(text: Column) -> Column:
     """Lower case rune by rune: a capital sigma is never final."""
-    return F.lower(F.translate(text, "Σ", "σ"))
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
 
 
 def fold(text: Column) -> Column:
@@ -50,7 +50,7 @@ def fold(text: Column) -> Column:
     bare_text = F.translate(text, one, to)
     for c, bare in several:
         bare_text = F.replace(bare_text, F.lit(c), F.lit(bare))
-    bare_text = F.regexp_replace(F.regexp_replace(bare_text, r"\p{Mn}+", ""), CONTROL, "")
+    bare_text = F.regexp_replace(bare_text, rf"[\p{{Mn}}{CONTROL}]+", "")
     return F.when(F.octet_length(text) == F.char_length(text), F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f]", "")).otherwise(bare_text)
 
 

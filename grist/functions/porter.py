@@ -8,7 +8,11 @@ consonant, is a consonant.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
@@ -90,15 +94,21 @@ def duckdb_stems(words: str) -> str:
     return f"SELECT term, CASE WHEN length(term) <= 2 THEN term WHEN w LIKE 'Y%' THEN concat('y', substr(w, 2)) ELSE w END AS stem FROM ({sql})"
 
 
+def _kinds(w: str) -> str:
+    """c for each consonant, v for each vowel; in one pass, as words may be of any length."""
+    out, last = [], "v"
+    for c in w:
+        last = "v" if c in "aeiou" or (c == "y" and out and last == "c") else "c"
+        out.append(last)
+    return "".join(out)
+
+
 def _consonant(w: str, i: int) -> bool:
-    if w[i] in "aeiou":
-        return False
-    return w[i] != "y" or i == 0 or not _consonant(w, i - 1)
+    return _kinds(w[: i + 1])[i] == "c"
 
 
 def _measure(w: str) -> int:
-    kinds = "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
-    return len(re.findall("v+c+", kinds))
+    return _kinds(w).count("vc")
 
 
 def _cvc(w: str) -> bool:
@@ -110,7 +120,7 @@ def stem(w: str | None) -> str | None:
     """The stem of one word in lower case, by the published rules."""
     if w is None or len(w) <= 2:
         return w
-    vowel = lambda s: any(not _consonant(s, i) for i in range(len(s)))
+    vowel = lambda s: "v" in _kinds(s)
     if w.endswith(("sses", "ies")):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
@@ -144,3 +154,31 @@ def stem(w: str | None) -> str | None:
     if w.endswith("e") and ((m := _measure(w[:-1])) > 1 or (m == 1 and not _cvc(w[:-1]))):
         w = w[:-1]
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+#: So many words keep their stems in a task.
+_KEPT = 500_000
+
+
+def stem_lists(df: DataFrame, column: str) -> DataFrame:
+    """df with the words of an array column stemmed where they are: a task stems each word once, and nothing is shuffled."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            lists = batch.column(at)
+            coded = lists.flatten().dictionary_encode()
+            if len(stems) > _KEPT:
+                stems.clear()
+            words = coded.dictionary.to_pylist()
+            for w in words:
+                if w not in stems:
+                    stems[w] = stem(w)
+            flat = pa.array([stems[w] for w in words], pa.string()).take(coded.indices)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            columns = list(batch.columns)
+            columns[at] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(task, df.schema)

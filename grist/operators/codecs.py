@@ -4,32 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import BLOCK_BITS, block_of
-
 
 def gaps(postings: DataFrame) -> DataFrame:
     """(term, doc_id, tf, gap): each doc_id less the one before it in its list, the first as it is.
 
-    Lists are walked block by block, and only the last doc_id of each block term by term, so that a frequent term is no task of its own.
+    One shuffle, by term: no list has more rows than there are documents, and Spark sorts it on disk if it has to.
     """
-    own = postings.select("term", "doc_id", "tf", block_of())
-    ends = own.groupBy("term", "block").agg(F.max("doc_id").alias("last"))
-    ends = ends.select("term", "block", F.lag("last").over(Window.partitionBy("term").orderBy("block")).alias("before"))
-    inside = own.withColumn("within", F.lag("doc_id").over(Window.partitionBy("term", "block").orderBy("doc_id")))
-    return inside.join(ends, ["term", "block"]).select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce("within", "before", F.lit(0))).alias("gap"))
+    before = F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id"))
+    return postings.select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce(before, F.lit(0))).alias("gap"))
 
 
 def from_gaps(df: DataFrame) -> DataFrame:
-    """(term, nth, doc_id) from (term, nth, gap), nth from 0: the running sum, block by block of nth."""
-    own = df.select("term", "nth", "gap", F.shiftright("nth", BLOCK_BITS).alias("block"))
-    sums = own.groupBy("term", "block").agg(F.sum("gap").alias("all"))
-    before = F.coalesce(F.sum("all").over(Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    running = own.withColumn("within", F.sum("gap").over(Window.partitionBy("term", "block").orderBy("nth")))
-    return running.join(sums.select("term", "block", before.alias("before")), ["term", "block"]).select("term", "nth", (F.col("before") + F.col("within")).alias("doc_id"))
+    """(term, nth, doc_id) from (term, nth, gap), nth from 0: the running sum. What gaps() gave is by term already and isn't shuffled again."""
+    running = F.sum("gap").over(Window.partitionBy("term").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.select("term", "nth", running.alias("doc_id"))
 
 
 def varint_bytes(x: Column) -> Column:
@@ -88,15 +82,83 @@ def decode_unary(data: bytes, least: int = 0) -> list[int]:
     return [len(ones) + least for ones in bits.split("0")[:-1]]
 
 
+#: Blocks that are coded at once.
+_AT_ONCE = 2000
+
+
+def _ends(lists: pa.Array) -> np.ndarray:
+    """The offsets of lists or of binary values, from 0."""
+    lengths = pc.binary_length(lists) if pa.types.is_binary(lists.type) else pc.list_value_length(lists)
+    return np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _bytes_of(blocks: pa.Array) -> np.ndarray:
+    """The bytes of all values, one after the other."""
+    start, end = blocks.offset, blocks.offset + len(blocks)
+    ends = np.frombuffer(blocks.buffers()[1], np.int32)
+    data = blocks.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[start] : ends[end]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def encode_blocks(ids: np.ndarray, tfs: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """encode_deltas() and encode_unary() above 1 of many lists at once; ends: their offsets, from 0. Ids may have all 64 bits."""
+    gap = ids.astype(np.int64).view(np.uint64).copy()
+    gap[1:] -= gap[:-1].copy()
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    gap[first] = ids[first].astype(np.int64).view(np.uint64)
+    size = np.ones(len(gap), np.int64)
+    for n in range(1, 10):
+        size += gap >= np.uint64(1 << 7 * n)
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = np.zeros(at[-1], np.uint8)
+    for n in range(size.max(initial=0)):
+        more = size > n
+        part = (gap[more] >> np.uint64(7 * n)) & np.uint64(0x7F)
+        data[at[:-1][more] + n] = part.astype(np.uint8) | np.where(size[more] > n + 1, 0x80, 0).astype(np.uint8)
+    bits = np.concatenate([[0], np.cumsum(tfs)])
+    used = bits[ends[1:]] - bits[ends[:-1]]
+    whole = np.concatenate([[0], np.cumsum((used + 7) // 8)])
+    ones = np.ones(whole[-1] * 8, np.uint8)
+    ones[bits[1:] - 1 + np.repeat(whole[:-1] * 8 - bits[ends[:-1]], np.diff(ends))] = 0
+    return _binary(data, at[ends]), _binary(np.packbits(ones), whole)
+
+
+def decode_blocks(ids: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, tfs, lengths) of encode_blocks()."""
+    data, ends = _bytes_of(ids), _ends(ids)
+    last = np.flatnonzero(data < 0x80)
+    begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    size = last - begin + 1
+    shift = (np.arange(len(data)) - np.repeat(begin, size)) * 7
+    parts = (data & 0x7F).astype(np.uint64) << shift.astype(np.uint64)
+    gap = np.add.reduceat(parts, begin) if len(begin) else parts
+    starts = np.searchsorted(last, ends)  # of lists, among the numbers
+    lengths = np.diff(starts)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gap, dtype=np.uint64)])
+    docs = (sums[1:] - np.repeat(sums[starts[:-1]], lengths)).view(np.int64)
+    whole = _ends(tfs) * 8
+    zeros = np.flatnonzero(np.unpackbits(_bytes_of(tfs)) == 0)
+    if (np.diff(np.searchsorted(zeros, whole)) != lengths).any():
+        raise ValueError("a block has other numbers of documents and of frequencies")
+    before = np.concatenate([[-1], zeros[:-1]]) if len(zeros) else zeros
+    return docs, zeros - np.maximum(before, np.repeat(whole[:-1] - 1, lengths)), lengths
+
+
 def compress(lists: DataFrame) -> DataFrame:
     """(term, block, ids, tfs): blocks of postings lists, document ids as varint gaps and frequencies in unary above 1."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2).to_pylist()
-            ids = [encode_deltas(p["doc_id"] for p in x) for x in lists]
-            tfs = [encode_unary((p["tf"] for p in x), 1) for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())], ["term", "block", "ids", "tfs"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, _AT_ONCE):
+                batch = whole.slice(i, _AT_ONCE)
+                flat = batch.column(2).flatten()
+                ids, tfs = (flat.field(n).to_numpy(zero_copy_only=False) for n in (0, 1))
+                coded = encode_blocks(ids, tfs, _ends(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *coded], ["term", "block", "ids", "tfs"])
 
     return lists.select("term", "block", "postings").mapInArrow(task, "term string, block bigint, ids binary, tfs binary")
 
@@ -105,9 +167,11 @@ def decompress(blocks: DataFrame) -> DataFrame:
     """(term, doc_id, tf) of compress()."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(t, i, n) for t, ids, tfs in zip(*(c.to_pylist() for c in batch.columns)) for i, n in zip(decode_deltas(ids), decode_unary(tfs, 1), strict=True)]
-            parts = list(zip(*rows)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(p), t) for p, t in zip(parts, (pa.string(), pa.int64(), pa.int64()))], ["term", "doc_id", "tf"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, _AT_ONCE):
+                batch = whole.slice(i, _AT_ONCE)
+                ids, tfs, lengths = decode_blocks(batch.column(1), batch.column(2))
+                terms = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)))
+                yield pa.RecordBatch.from_arrays([terms, pa.array(ids), pa.array(tfs, pa.int64())], ["term", "doc_id", "tf"])
 
     return blocks.select("term", "ids", "tfs").mapInArrow(task, "term string, doc_id bigint, tf bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
@@ -15,13 +15,15 @@ from .stopwords import STOPWORDS
 _TAG = re.compile(r"<[^>]*>")
 
 
-def plain_tokens(text: str | None, stop: bool = False) -> list[str]:
-    """The tokens of one text, in Python; the same as analysis.analyze() gives."""
-    folded = unicodedata.normalize("NFD", "".join(_lower(c) for c in text or ""))
-    folded = unicodedata.normalize("NFC", "".join(c for c in folded if unicodedata.category(c) != "Mn"))
-    folded = "".join(c for c in folded if c in "\n\t" or unicodedata.category(c) not in ("Cc", "Cf", "Co", "Cs"))
-    kept = "".join(c if c in " \t\n\x0b\f\r" or unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "So" else " " for c in _TAG.sub(" ", folded))
-    return [t for t in re.split(r"[ \t\n\x0b\f\r]+", kept) if t and not (stop and t in STOPWORDS)]
+class _Table(dict):
+    """What str.translate() makes of characters; each is worked out once."""
+
+    def __init__(self, f: Callable[[str], str | None]):
+        self.f = f
+
+    def __missing__(self, code: int) -> str | None:
+        self[code] = self.f(chr(code))
+        return self[code]
 
 
 def _lower(c: str) -> str:
@@ -29,6 +31,21 @@ def _lower(c: str) -> str:
     return low if len(low) == 1 or c == "\u0130" else c
 
 
+_LOWER = _Table(_lower)
+_MARKS = _Table(lambda c: None if unicodedata.category(c) == "Mn" else c)
+_CONTROL = _Table(lambda c: None if c not in "\n\t" and unicodedata.category(c) in ("Cc", "Cf", "Co", "Cs") else c)
+_KEPT = _Table(lambda c: c if c in " \t\n\x0b\f\r" or unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "So" else " ")
+
+
+def plain_tokens(text: str | None, stop: bool = False) -> list[str]:
+    """The tokens of one text, in Python; the same as analysis.analyze() gives."""
+    folded = (text or "").translate(_LOWER)
+    if not folded.isascii():
+        folded = unicodedata.normalize("NFC", unicodedata.normalize("NFD", folded).translate(_MARKS))
+    found = _TAG.sub(" ", folded.translate(_CONTROL)).translate(_KEPT).split()
+    return [t for t in found if t not in STOPWORDS] if stop else found
+
+
 class _Tokenize:
     def eval(self, text: str, stop: bool) -> Iterator[tuple[int, str]]:
         yield from enumerate(plain_tokens(text, bool(stop)))

@@ -448,7 +448,7 @@ def _passage_files(spark: SparkSession, sf_dir: str) -> str:
 
     def make(at: str) -> str:
         lines = _table(spark, sf_dir, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), _line("text")).alias("value"))
-        lines.repartition(3).write.text(f"{at}/passages")
+        (lines if lines.rdd.getNumPartitions() >= 3 else lines.repartition(3)).write.text(f"{at}/passages")
         return f"{at}/passages"
 
     return _once(spark, make, "passages", sf_dir)
@@ -566,7 +566,8 @@ def query_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     def make(at: str) -> str:
-        stream = readers.passage_stream(spark, _passage_files(spark, sf_dir))
+        files = [f for f in storage.names(spark, _passage_files(spark, sf_dir)) if f.startswith("part-")]
+        stream = readers.passage_stream(spark, _passage_files(spark, sf_dir), -(-len(files) // 3))
         incremental.index_stream(stream, f"{at}/index", f"{at}/checkpoint", PLAIN).awaitTermination()
         return f"{at}/index"
 
